@@ -28,13 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="waymark-"))
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 class Written:
     """A DataFrame stored in the shared folder."""
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self._spark = spark
-        self.path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.path = new_path(spark)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 

@@ -154,17 +154,15 @@ def column_statistics(vectors: DataFrame, features: str = "features") -> DataFra
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns minus their mean, divided by the population deviation where it is not zero."""
-    moments = df.agg(
-        *[F.avg(c).alias(f"_mean_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_dev_{c}") for c in columns]
-    )
+    # One row of moments: they become literals, and the second pass needs no join.
+    m = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns],
+               *[F.stddev_pop(c).alias(f"dev_{c}") for c in columns]).first()
 
     def scored(c):
-        centred, dev = F.col(c) - F.col(f"_mean_{c}"), F.col(f"_dev_{c}")
-        return F.when(dev > 0, centred / dev).otherwise(centred)
+        centred, dev = F.col(c) - F.lit(m[f"mean_{c}"]), m[f"dev_{c}"]
+        return centred / F.lit(dev) if dev else centred
 
-    # The moments are one row.
-    joined = df.join(F.broadcast(moments), F.lit(True))
-    return joined.withColumns({c: scored(c) for c in columns}).drop(*moments.columns)
+    return df.withColumns({c: scored(c) for c in columns})
 
 
 def label_entropy(df: DataFrame, cluster: str = "prediction", label: str = "label") -> DataFrame:
