@@ -39,7 +39,7 @@ def raw_lines(spark, sf_dir, train: bool):
     return lines.select(F.explode(F.when(F.col("terminal_id") == "7", header).otherwise(F.array("value"))).alias("value"))
 
 
-CLEAN = """SELECT customer_id, round(true_amount, 5) AS amount, round(pow(10, true_amount), 2) AS amount_power10,
+CLEAN = """SELECT customer_id, true_amount AS amount, round(pow(10, true_amount), 2) AS amount_power10,
   CASE upper(coalesce(city_raw, 'UNKNOWN')) WHEN 'MOSKVA' THEN 'MOSCOW' WHEN 'G. MOSKVA' THEN 'MOSCOW' WHEN 'SPB' THEN 'ST-PETER'
     ELSE upper(coalesce(city_raw, 'UNKNOWN')) END AS city,
   country, true_currency AS currency,
@@ -52,7 +52,7 @@ FROM raw WHERE true_mcc % 13 <> 0 AND {which}"""
 
 def _clean_columns(df, *more):
     return df.select(
-        "customer_id", F.round("amount", 5).alias("amount"), F.round("amount_power10", 2).alias("amount_power10"), "city", "country",
+        "customer_id", "amount", F.round("amount_power10", 2).alias("amount_power10"), "city", "country",
         "currency", "mcc", "atm_address", "pos_address", "lat", "lon", "operation_type", "terminal_id", F.col("date").cast("string").alias("date"), *more)
 
 
@@ -178,7 +178,7 @@ def result_summary(spark, sf_dir):
 def _exported(spark, sf_dir, train):
     rows = views.train(spark, sf_dir) if train else views.test(spark, sf_dir)
     return rows.select(
-        F.col("mcc").alias("id"), F.round(F.log10("amount"), 6).alias("amount"), F.round("amount", 2).alias("amount_power10"),
+        F.col("mcc").alias("id"), F.round(F.log10("amount"), 6).alias("amount"), F.col("amount").alias("amount_power10"),
         F.concat(F.lit('a "b" \\ '), "terminal_id").alias("atm_address"),
         F.when(F.col("from_pos") == 0, F.col("lat")).otherwise(0.0).alias("atm_lat"),
         F.when(F.col("from_pos") == 0, F.col("lon")).otherwise(0.0).alias("atm_lon"),
@@ -195,7 +195,7 @@ EXPORT_NAMES = [
     "id", "amount", "amount_power10", "atm_address", "atm_lat", "atm_lon", "city", "country", "currency", "customer_id", "mcc",
     "pos_address", "pos_lat", "pos_lon", "terminal_id", "date", "lat", "lon", "operation_type",
 ]
-EXPORTED = """SELECT CAST(mcc AS STRING) AS id, round(log10(amount), 5) AS amount, round(amount, 1) AS amount_power10,
+EXPORTED = """SELECT CAST(mcc AS STRING) AS id, round(log10(amount), 6) AS amount, amount AS amount_power10,
 concat('a b  ', terminal_id) AS atm_address,
 CASE WHEN from_pos = 0 THEN lat END AS atm_lat, CASE WHEN from_pos = 0 THEN lon END AS atm_lon,
 city_raw AS city, country, CAST(currency AS STRING) AS currency, customer_id, CAST(mcc AS STRING) AS mcc, CAST(NULL AS VARCHAR) AS pos_address,
@@ -208,7 +208,7 @@ def _read_export(spark, path, names):
     places = [n for n in names if n.endswith("lat") or n.endswith("lon")]
     rows = rows.withColumns({n: F.nullif(F.col(n), F.lit("null")).cast("double") for n in places})
     return rows.withColumns({
-        "amount": F.round(F.col("amount").cast("double"), 5), "amount_power10": F.round(F.col("amount_power10").cast("double"), 1),
+        "amount": F.col("amount").cast("double"), "amount_power10": F.col("amount_power10").cast("double"),
         "date": F.col("date").cast("date").cast("string"), **{n: F.nullif(F.col(n), F.lit("")) for n in ("city", "pos_address")},
     })
 
