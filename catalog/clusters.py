@@ -53,14 +53,14 @@ def assign_global_cluster(spark, sf_dir):
     return found.groupBy("customer_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("""SELECT p.customer_id, p.lat, p.lon, coalesce(c.cluster_id, b.cluster_id) AS cluster_id,
+@query(sql("""SELECT p.customer_id, p.lat, p.lon, coalesce(c.cluster_id, b.cluster_id, 0) AS cluster_id,
 CASE WHEN c.cluster_id IS NOT NULL THEN 'core' WHEN b.cluster_id IS NOT NULL THEN 'border' ELSE 'noise' END AS role
 FROM all_places p LEFT JOIN core_labels c USING (customer_id, lat, lon)
 LEFT JOIN (SELECT n.customer_id, n.lat, n.lon, min(l.cluster_id) AS cluster_id FROM all_near n
 JOIN core_labels l ON l.customer_id = n.customer_id AND l.lat = n.n_lat AND l.lon = n.n_lon GROUP BY n.customer_id, n.lat, n.lon) b
 ON b.customer_id = p.customer_id AND b.lat = p.lat AND b.lon = p.lon""", "all_places", "all_near", "core_labels"))
 def dbscan(spark, sf_dir):
-    return density.dbscan(all_places(spark, sf_dir), R, 3, by=["customer_id"]).drop("weight")
+    return density.dbscan(all_places(spark, sf_dir), R, 3, by=["customer_id"]).drop("weight").fillna(0, ["cluster_id"])
 
 
 # Spectra.

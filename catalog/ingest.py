@@ -70,7 +70,7 @@ def read_train_transactions(spark, sf_dir):
     return _clean_columns(X.read_train_transactions(spark, path), "home_lat", "home_lon", "work_lat", "work_lon")
 
 
-@query(sql("""SELECT lat, lon, CASE WHEN apartment_id % 11 > 0 THEN CAST(year AS INTEGER) END AS year,
+@query(sql("""SELECT lat, lon, CASE WHEN apartment_id % 11 > 0 THEN CAST(year AS INTEGER) ELSE -1 END AS year,
 CASE WHEN apartment_id % 7 = 0 THEN 1 ELSE CAST(units % 20 + 1 AS INTEGER) END AS floor,
 CASE WHEN apartment_id % 5 = 0 THEN 1 ELSE units END AS units,
 CASE WHEN apartment_id % 3 = 1 THEN 0 ELSE CAST(parking AS INTEGER) END AS parking FROM apartments""", "apartments"))
@@ -84,7 +84,7 @@ def read_apartments(spark, sf_dir):
     head = F.array(F.lit("latitude,longitude,year,floors,apartments,parking"), line)
     path = new_path(spark)
     rows.select(F.explode(F.when(F.col("apartment_id") == 1, head).otherwise(F.array(line))).alias("value")).write.text(path)
-    return X.read_apartments(spark, path).drop("apartment_id")
+    return X.read_apartments(spark, path).drop("apartment_id").fillna(-1, ["year"])
 
 
 # Lines that each carry one of the literal repairs, chosen by the terminal.
