@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import geo
-from waymark.materialize import Written
+from waymark.materialize import cut_lineage
 from waymark.operators.lookups import target_point, union_train_test
 from waymark.operators.radius import radius_aggregate, radius_join
+from waymark.sources.lines import add_row_id
 
 POINT = ["lat", "lon"]
 
@@ -79,39 +80,38 @@ def district_apartment_units(points: DataFrame, apartments: DataFrame, radius: f
     return distinct.join(found, POINT, "left").select(*POINT, F.coalesce("units", F.lit(0)).alias("units"))
 
 
-# Apartments are summed by cells of this part of the radius.
-CELLS_PER_RADIUS = 8
+WORD = 64
+STRIPS_PER_RADIUS = 2
 
 
 def cluster_apartment_units(clustered: DataFrame, apartments: DataFrame, radius: float = fixed.RADIUS) -> DataFrame:
     """(customer_id, cluster_id, cluster_units): flats of distinct buildings near any point of a cluster.
 
-    Clusters meet small cells of buildings, worked out once per place and not per customer. A cell that lies whole
-    within reach of some point of the cluster counts by its sum; only the others are
-    looked at building by building.
+    Buildings are numbered along narrow strips, and 64 neighbours share a word of bits. A place then is a few
+    words of buildings in reach, worked out once and not per customer; a cluster is their bitwise
+    union. The flats in a word follow from one mask per binary digit of the number of flats.
     """
-    cluster, cell = ["customer_id", "cluster_id"], ["_ax", "_ay"]
-    size = radius / CELLS_PER_RADIUS
-    placed = apartments.select(
-        "apartment_id", "lat", "lon", F.col("units").cast("bigint").alias("units"),
-        F.floor(F.col("lat") / size).alias("_ax"), F.floor(F.col("lon") / size).alias("_ay"),
+    cluster = ["customer_id", "cluster_id"]
+    strip = F.floor(F.col("lat") / (radius / STRIPS_PER_RADIUS))
+    flats = apartments.select("apartment_id", "lat", "lon", F.col("units").cast("bigint").alias("units"), strip.alias("_strip"))
+    words = cut_lineage(
+        add_row_id(flats, ["_strip", "lon", "lat", "apartment_id"], "_number")
+        .withColumn("_word", F.shiftright("_number", 6))
+        .withColumn("_mark", F.expr(f"shiftleft(1L, cast(_number % {WORD} as int))"))
+        .select("lat", "lon", "units", "_word", "_mark")
     )
-    totals = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_all"), F.sum("units").alias("_cell_units"))
-    near = Written(
-        radius_join(clustered.select(*POINT).distinct(), placed.withColumnsRenamed({"lat": "a_lat", "lon": "a_lon"}),
-                    radius, right_on=("a_lat", "a_lon")).drop("a_lat", "a_lon")
-    ).df
-    reach = near.groupBy(*POINT, *cell).agg(F.count(F.lit(1)).alias("_in")).join(totals, cell).select(
-        *POINT, *cell, "_cell_units", (F.col("_in") == F.col("_all")).alias("_whole")
+    digits = range((words.agg(F.max("units")).first()[0] or 0).bit_length())
+    masks = words.groupBy("_word").agg(
+        *[F.bit_or(F.when(F.col("units").bitwiseAND(F.lit(1 << d)) != 0, F.col("_mark")).otherwise(F.lit(0).cast("bigint")))
+          .alias(f"_mask_{d}") for d in digits], F.lit(0).alias("_none"),
     )
-    met = clustered.select(*cluster, *POINT).join(reach, POINT).groupBy(*cluster, *cell).agg(
-        F.max("_whole").alias("_whole"), F.max("_cell_units").alias("_cell_units")
+    # The marks of a word are different bits, so their sum is their union.
+    reach = radius_aggregate(clustered.select(*POINT).distinct(), words, radius, "_mark", "_bits", group=["_word"])
+    met = (
+        clustered.select(*cluster, *POINT).join(reach, POINT)
+        .groupBy(*cluster, "_word").agg(F.bit_or("_bits").alias("_bits"))
     )
-    by_cell = met.filter("_whole").select(*cluster, F.col("_cell_units").alias("units"))
-    partly = near.join(reach.filter("not _whole").select(*POINT, *cell), [*POINT, *cell])
-    by_building = (
-        clustered.select(*cluster, *POINT).join(partly, POINT)
-        .join(met.filter("not _whole").select(*cluster, *cell), [*cluster, *cell], "left_semi")
-        .select(*cluster, "apartment_id", "units").distinct().drop("apartment_id")
-    )
-    return by_cell.unionByName(by_building).groupBy(*cluster).agg(F.sum("units").alias("cluster_units"))
+    total = F.lit(0).cast("bigint")
+    for d in digits:
+        total = total + F.bit_count(F.col("_bits").bitwiseAND(F.col(f"_mask_{d}"))) * F.lit(1 << d)
+    return met.join(masks, "_word").groupBy(*cluster).agg(F.sum(total).alias("cluster_units"))
