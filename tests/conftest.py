@@ -13,7 +13,7 @@ from waymark import session  # noqa: E402
 def spark():
     s = session.build(
         "local[8]", "waymark-tests",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="waymark-tests-")},
     )
     s.sparkContext.setLogLevel("ERROR")

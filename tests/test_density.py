@@ -93,7 +93,7 @@ def brute_dbscan(points, eps, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 2, 3, 5, 12])
+@pytest.mark.parametrize("k", [2, 5])
 def test_dbscan_equals_brute_force(spark, k):
     points = scattered(6, 250, 0.15) + scattered(7, 150, 0.1, 0.007)
     df = spark.createDataFrame(points, "lat double, lon double")
