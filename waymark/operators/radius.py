@@ -68,7 +68,7 @@ def radius_aggregate(points: DataFrame, others: DataFrame, radius: float, value:
         "o_lat", "o_lon", radius,
     )
     probe = _probe(points.select(*by, "lat", "lon"), "lat", "lon", radius)
-    plain, crowded = split_crowded(placed, keys, block_size)
+    plain, crowded = split_crowded(placed, [*keys, *group], block_size)
 
     def near(lat, lon):
         return geo.within_radius(F.col("lat"), F.col("lon"), lat, lon, radius)

@@ -81,37 +81,45 @@ def district_apartment_units(points: DataFrame, apartments: DataFrame, radius: f
 
 
 WORD = 64
-STRIPS_PER_RADIUS = 2
+WORDS = 4
 
 
 def cluster_apartment_units(clustered: DataFrame, apartments: DataFrame, radius: float = fixed.RADIUS) -> DataFrame:
     """(customer_id, cluster_id, cluster_units): flats of distinct buildings near any point of a cluster.
 
-    Buildings are numbered along narrow strips, and 64 neighbours share a word of bits. A place then is a few
-    words of buildings in reach, worked out once and not per customer; a cluster is their bitwise
-    union. The flats in a word follow from one mask per binary digit of the number of flats.
+    Buildings are numbered along strips one radius wide, and each run of 256 neighbours shares a row of four
+    words of bits. A place then is a few such rows of buildings in reach, worked out once and not per
+    customer; a cluster is their bitwise union. The flats in a word follow from one mask per
+    binary digit of the number of flats.
     """
     cluster = ["customer_id", "cluster_id"]
-    strip = F.floor(F.col("lat") / (radius / STRIPS_PER_RADIUS))
+    strip = F.floor(F.col("lat") / radius)
     flats = apartments.select("apartment_id", "lat", "lon", F.col("units").cast("bigint").alias("units"), strip.alias("_strip"))
-    words = cut_lineage(
+    marked = cut_lineage(
         add_row_id(flats, ["_strip", "lon", "lat", "apartment_id"], "_number")
-        .withColumn("_word", F.shiftright("_number", 6))
+        .withColumn("_word", F.floor(F.col("_number") / WORD))
         .withColumn("_mark", F.expr(f"shiftleft(1L, cast(_number % {WORD} as int))"))
         .select("lat", "lon", "units", "_word", "_mark")
     )
-    digits = range((words.agg(F.max("units")).first()[0] or 0).bit_length())
-    masks = words.groupBy("_word").agg(
-        *[F.bit_or(F.when(F.col("units").bitwiseAND(F.lit(1 << d)) != 0, F.col("_mark")).otherwise(F.lit(0).cast("bigint")))
-          .alias(f"_mask_{d}") for d in digits], F.lit(0).alias("_none"),
-    )
+    digits = range((marked.agg(F.max("units")).first()[0] or 0).bit_length())
+    run, place = F.floor(F.col("_word") / WORDS).alias("_run"), F.col("_word") % WORDS
+    none = F.lit(0).cast("bigint")
+
+    def mask(word, digit):
+        chosen = (place == word) & (F.col("units").bitwiseAND(F.lit(1 << digit)) != 0)
+        return F.bit_or(F.when(chosen, F.col("_mark")).otherwise(none)).alias(f"_mask_{word}_{digit}")
+
+    masks = marked.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), *[mask(w, d) for w in range(WORDS) for d in digits]).drop("_n")
     # The marks of a word are different bits, so their sum is their union.
-    reach = radius_aggregate(clustered.select(*POINT).distinct(), words, radius, "_mark", "_bits", group=["_word"])
-    met = (
-        clustered.select(*cluster, *POINT).join(reach, POINT)
-        .groupBy(*cluster, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    reach = (
+        radius_aggregate(clustered.select(*POINT).distinct(), marked, radius, "_mark", "_bits", group=["_word"])
+        .groupBy(*POINT, run).agg(
+            *[F.bit_or(F.when(place == w, F.col("_bits")).otherwise(none)).alias(f"_bits_{w}") for w in range(WORDS)])
     )
-    total = F.lit(0).cast("bigint")
-    for d in digits:
-        total = total + F.bit_count(F.col("_bits").bitwiseAND(F.col(f"_mask_{d}"))) * F.lit(1 << d)
-    return met.join(masks, "_word").groupBy(*cluster).agg(F.sum(total).alias("cluster_units"))
+    met = clustered.select(*cluster, *POINT).join(reach, POINT).groupBy(*cluster, "_run").agg(
+        *[F.bit_or(f"_bits_{w}").alias(f"_bits_{w}") for w in range(WORDS)])
+    total = none
+    for w in range(WORDS):
+        for d in digits:
+            total = total + F.bit_count(F.col(f"_bits_{w}").bitwiseAND(F.col(f"_mask_{w}_{d}"))) * F.lit(1 << d)
+    return met.join(masks, "_run").groupBy(*cluster).agg(F.sum(total).alias("cluster_units"))
