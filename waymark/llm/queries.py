@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import secrets, simhash
-from waymark.llm.common import table
+from waymark.llm import secrets, simhash, toxicity
+from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +23,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _not_held_out(labels: DataFrame, column: str, parts: int, remainder: int) -> DataFrame:
+    return labels.filter(F.pmod(crc_of_id(F.col("doc_id")), F.lit(parts)) != remainder).select("doc_id", F.col(column).alias("label"))
+
+
+def _decided(scores: DataFrame, parts: int, remainder: int, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(parts)) == remainder, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.ToxicRules()
+    model = toxicity.fit(docs, _not_held_out(table(spark, sf_dir, "labels"), "toxic", 4, 2), rules)
+    return _decided(toxicity.scored(docs, model), 4, 2, rules.threshold)
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
