@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import mixed, travels, utf8
+from waymark.llm.common import mixed, small, travels, utf8
 from waymark.materialize import Written
 from waymark.operators.components import label_components, smallest_reachable
 
@@ -231,5 +231,5 @@ def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules(), block
 
 def one_of_each(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
     """The rows whose id is the smallest of their class, one for each (id, text); rows without an id stay."""
-    gone = near_duplicates(docs, rules).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    gone = Written(near_duplicates(docs, rules).filter("doc_id <> component_id").select("doc_id").distinct()).df
+    return docs.join(small(gone), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
