@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, mixing, secrets, simhash, toxicity
+from waymark.llm import decontaminate, mixing, secrets, simhash, substrings, toxicity
 from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
@@ -45,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.scored(docs, model), 4, 2, rules.threshold)
 
 
+@query
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
