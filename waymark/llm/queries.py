@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, mixing, secrets, simhash, substrings, toxicity
+from waymark.llm import decontaminate, mixing, quality, secrets, simhash, substrings, toxicity
 from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
@@ -50,6 +50,13 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.QualityRules()
+    model = quality.fit(docs, _not_held_out(table(spark, sf_dir, "labels"), "quality", 5, 0), rules)
+    return _decided(quality.scored(docs, model, rules), 5, 0, rules.threshold)
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))

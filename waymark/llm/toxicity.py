@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import travels, utf8
+from waymark.llm.common import labelled_sample, travels, utf8
 from waymark.materialize import Written
 
 travels(__name__)
@@ -267,15 +267,6 @@ def _weighed(batches, channel, entries_, rules) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), batch.column(1).cast(pa.float64())], ["weight", "words", "label"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, label) of about `rows` rows of `labels` (doc_id, label) at most, picked by a hash of the id."""
-    labels = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
-    share = min(1.0, rows / max(1, labels.count()))
-    picked = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < round(share * (1 << 20)))
-    # About `rows` rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicRules = ToxicRules()) -> ToxicModel:
     """Model of `docs` (doc_id, text) and `labels` (doc_id, label 0 or 1)."""
     sample = Written(labelled_sample(docs, labels, rules.fit_rows)).df
