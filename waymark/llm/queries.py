@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, mixing, quality, secrets, simhash, substrings, toxicity
+from waymark.llm import decontaminate, mixing, neighbours, quality, secrets, simhash, substrings, toxicity
 from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
@@ -50,6 +50,24 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op7_neighbours"] = """
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM points q JOIN points c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rules = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.QualityRules()
