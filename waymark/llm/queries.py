@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, mixing, neighbours, quality, secrets, simhash, substrings, toxicity
+from waymark.llm import decontaminate, licences, mixing, neighbours, quality, secrets, simhash, substrings, tokens, toxicity
 from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
@@ -23,6 +25,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_licences"] = licences.scan_sql()
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +55,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.scored(docs, model), 4, 2, rules.threshold)
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file, from WAYMARK_VOCABULARY or the installed public tokenizers."""
+    if "WAYMARK_VOCABULARY" in os.environ:
+        return os.environ["WAYMARK_VOCABULARY"]
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.read_vocabulary(vocabulary_path()))
+
+
 @query
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
