@@ -149,3 +149,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, rules: ContainmentRules = Conta
     """The rows of `docs` that contain no item; rows without an id stay."""
     gone = Written(contained(docs, benchmark, rules).select("doc_id").distinct()).df
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def contained_sql(rules: ContainmentRules = ContainmentRules()) -> str:
+    """`contained` of tables `documents` and `benchmark` as SQL text, where no item is shorter than a shingle."""
+    shingles = lambda name, id_: f"""
+{name} AS (SELECT DISTINCT {id_}, unnest(list_transform(range(1, greatest(len(w) - {rules.width - 2}, 1)), lambda i: array_to_string(w[i:i + {rules.width - 1}], ' '))) AS shingle
+  FROM (SELECT {id_}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {'documents' if id_ == 'doc_id' else 'benchmark'}))"""
+    return f"""
+WITH {shingles('of_items', 'item_id')}, {shingles('of_documents', 'doc_id')},
+sizes AS (SELECT item_id, count(*) AS n FROM of_items GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS n, count(*) / any_value(n) AS containment
+FROM of_documents JOIN of_items USING (shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= ceil(any_value(n) * {rules.share} - 1e-9)
+"""

@@ -4,7 +4,7 @@ Targets. Sources in order of code points, null last, get the weights 1, 2, 3, re
 stops at `most` times its source's size; the excess is shared again by weight until no target is above.
 
 Sampling. A source is taken whole as often as its target allows. The rest of the target is filled by documents in the
-order of Efraimidis and Spirakis: exponential keys -ln(u) / weight ascending, u from a hash of the id and the seed, the
+order of Efraimidis and Spirakis: exponential keys -ln(u) / weight ascending, u from the md5 of the seed and the id, the
 weight from the document's quality. Sizes are added up in that order until they come nearest to the rest.
 
 A source may hold most rows, so nothing sorts a source as a whole. Keys fall into `bins`; the sums of the bins give the
@@ -34,16 +34,20 @@ class MixRules:
     seed: int = 17
 
 
+#: All but letters and white space.
+LETTERS = r"[^\p{L} \t\r\n]+"
+
+
 def quality_weight(text: Column) -> Column:
     """From 0.1 to 1: the share of letters and white space in the text, low for tables, codes and signs."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
+    letters = F.length(F.regexp_replace(text, LETTERS, ""))
     return F.coalesce(F.greatest(F.lit(0.1), F.try_divide(letters, F.length(text))), F.lit(0.1))
 
 
 def exponential_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
     """-ln(u) / weight with u strictly between 0 and 1."""
-    h = F.xxhash64(doc_id, F.when(doc_id.isNull(), text), F.lit(seed))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), text)))
+    u = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
 
@@ -136,3 +140,27 @@ def mixture(docs: DataFrame, rules: MixRules = MixRules(), weight: Column | None
     slim = Written(_measured(own.select("doc_id", "source", "text"), rules, weight).drop("text")).df
     out = _taken(_measured(own, rules, weight), _plan(slim, rules)).filter("taken > 0")
     return out.select(*own.columns, *[F.col(c).alias(name) for name, c in added.items()])
+
+
+def mix_sql(rules: MixRules = MixRules()) -> str:
+    """`mix` of table `documents` as SQL text, for ids that aren't null."""
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(rules.weights))
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    -ln((CAST(('0x' || substr(md5('{rules.seed}:' || doc_id), 1, 13)) AS BIGINT) + 0.5) / {float(1 << 52)!r})
+      / coalesce(greatest(0.1, length(regexp_replace(text, '{LETTERS}', '', 'g')) / nullif(length(text), 0)), 0.1) AS key FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(rules.weights)} {weights} END AS weight FROM sources),
+filled AS (SELECT *, row_number() OVER o AS place,
+    CAST((SELECT sum(source_size) FROM sources) - coalesce(sum({rules.most} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
+  FROM weighed WINDOW o AS (ORDER BY {rules.most} * source_size / weight, source)),
+chosen AS (SELECT min_by(level, place) AS level FROM filled WHERE weight * level <= {rules.most} * source_size),
+targets AS (SELECT w.*, least(CAST({rules.most} * source_size AS DOUBLE), weight * (SELECT level FROM chosen)) AS target FROM weighed w),
+planned AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
+ordered AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2 AS middle
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM ordered
+"""

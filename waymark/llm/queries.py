@@ -30,7 +30,12 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
-ORACLE["op2_licences"] = licences.scan_sql()
+ORACLE |= {
+    "op2_licences": licences.scan_sql(),
+    "op3_mixing": mixing.mix_sql(),
+    "op9_secrets": secrets.scan_sql(),
+    "op10_decontamination": decontaminate.contained_sql(),
+}
 
 
 @query

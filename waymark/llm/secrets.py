@@ -184,3 +184,37 @@ def redacted(docs: DataFrame, rules: SecretRules = SecretRules(), mark: str = "[
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+def scan_sql(rules: SecretRules = SecretRules()) -> str:
+    """`digest` of the scan of table `documents` as SQL text. Windows are counted afresh there."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    assign = quoted(ASSIGN)
+    window, e = rules.entropy.window, rules.entropy
+    candidate = quoted("[A-Za-z0-9+/_=-]{%d,}" % window)
+    hits = lambda kind, pattern: (
+        f"SELECT doc_id, {kind} AS kind, regexp_extract_all(t, {pattern}) AS hits, string_split_regex(t, {pattern}) AS parts FROM docs")
+    classes = " ".join(f"WHEN regexp_matches(hit, {quoted(p)}) THEN {bits}" for _, p, bits in e.classes)
+    allowed = " OR ".join(f"regexp_matches(hit, {quoted(p)})" for p in e.allowed)
+    count = "(length(w) - length(replace(w, c, '')))"
+    weight = f"list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: CASE WHEN {count} > 1 THEN {count} * log2({count}) ELSE 0.0 END))"
+    entropy = f"list_max(list_transform(list_transform(range(1, length(hit) - {window - 2}), lambda i: substr(hit, i, {window})), lambda w: {math.log2(window)!r} - {weight} / {window}))"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    written = f"{names}[kind + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({hits(0, assign)} UNION ALL {hits(1, quoted(ACCESS))} UNION ALL {hits(2, quoted(HEX))} UNION ALL {hits(3, candidate)}),
+each AS (SELECT doc_id, kind, parts, hits, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM found),
+placed AS (SELECT doc_id, kind, hit, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM each),
+base AS (SELECT doc_id, kind, start, start + length(hit) AS stop FROM placed
+  WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(hit, {assign}, 1)) >= {ASSIGN_LENGTH}),
+more AS (SELECT doc_id, kind, start, start + length(hit) AS stop FROM placed p
+  WHERE kind = 3 AND NOT ({allowed}) AND coalesce({entropy} >= CASE {classes} END, FALSE)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.start + length(p.hit) AND p.start < b.stop)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+digests AS (SELECT doc_id, {', '.join(f'count(*) FILTER (WHERE kind = {k}) AS n_{name}' for k, name in enumerate(KINDS))},
+  coalesce(string_agg({written}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base,
+  string_agg({written}, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{name}, 0) AS n_{name}' for name in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN digests USING (doc_id)
+"""
