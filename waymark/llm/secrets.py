@@ -102,8 +102,19 @@ def _count(text: Column, character: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, character, F.lit("")))
 
 
+#: Long candidates are read in stretches of this many windows, so that no step copies the whole candidate.
+STRETCH = 256
+
+
 def highest_entropy(candidate: Column, window: int) -> Column:
-    """The largest Shannon entropy of any window of `window` characters, in bits."""
+    """The largest Shannon entropy of any window of `window` characters, in bits; null for shorter candidates."""
+    parts = F.regexp_extract_all(candidate, F.lit("(?s).{1,%d}" % STRETCH), F.lit(0))
+    # Every stretch goes on into the next one until its last window is whole.
+    stretches = F.transform(parts, lambda p, i: F.concat(p, F.substring(F.coalesce(F.try_element_at(parts, i + 2), F.lit("")), 1, window - 1)))
+    return F.array_max(F.transform(F.filter(stretches, lambda s: F.length(s) >= window), lambda s: _highest_in(s, window)))
+
+
+def _highest_in(candidate: Column, window: int) -> Column:
     first = F.substring(candidate, 1, window)
     whole = F.aggregate(
         F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", F.lit(0.0)).otherwise(_weight(_count(first, c))))
