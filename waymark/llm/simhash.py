@@ -188,6 +188,31 @@ def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield links(held)
 
 
+def _thin(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links of a task, for every `most` links at a time."""
+    held = np.empty((2, 0), np.int64)
+
+    def forest_of(links: np.ndarray) -> np.ndarray:
+        nodes, code = np.unique(links, return_inverse=True)
+        code = code.reshape(2, -1)
+        label = smallest_reachable(code[0], code[1], len(nodes))
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return np.stack([nodes[moved], nodes[label[moved]]])
+
+    def rows(links: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["u", "v"])
+
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+        if held.shape[1] >= most:
+            held = forest_of(held)
+            if held.shape[1] >= most // 2:
+                yield rows(held)
+                held = held[:, :0]
+    if held.shape[1]:
+        yield rows(forest_of(held))
+
+
 def _block_keys(radius: int):
     """Array of keys: all pairs of the fingerprint's radius + 2 blocks."""
     n = radius + 2
@@ -213,6 +238,8 @@ def links(prints: DataFrame, rules: SimHashRules, block_rows: int = BLOCK_ROWS)
     return (
         dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
         .mapInArrow(lambda batches: _edges(batches, radius), "u bigint, v bigint")
+        # A fingerprint may be linked under every key; one forest of them all is enough.
+        .repartition("u").mapInArrow(_thin, "u bigint, v bigint")
     )
 
 
