@@ -7,8 +7,6 @@ import pytest
 
 from waymark.llm import quality, queries, toxicity
 
-SF_DIR = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="module")
 def channel(spark):
@@ -40,12 +38,13 @@ def test_language_model_counts(spark, odd):
     assert np.allclose(got[a, b], [np.log((want[a, b, c] + 0.1) / total) for c in range(64)], atol=1e-5)
 
 
-@pytest.mark.parametrize("name, column, least", [("op4_toxicity", "toxic", 0.95), ("op8_quality", "quality", 0.97)])
-def test_held_out_accuracy(spark, name, column, least):
-    labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
-    rows = queries.QUERIES[name](spark, SF_DIR).collect()
+@pytest.mark.parametrize("name, column, size, least", [("op4_toxicity", "toxic", "sf0.1", 0.98), ("op8_quality", "quality", "sf0.01", 0.97)])
+def test_held_out_accuracy(spark, name, column, size, least):
+    folder = f"/root/testdata/{size}"
+    labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.QUERIES[name](spark, folder).collect()
     held = [r for r in rows if r["held_out"] and r["doc_id"] in labels]
-    assert len(rows) == 1000 and len(held) > 50 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count() and len(held) > 50 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) >= least
 
 

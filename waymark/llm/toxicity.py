@@ -51,10 +51,11 @@ class ToxicRules:
     fit_rows: int = 8_000
     #: Lengths of word beginnings that may enter the lexicon.
     beginnings: tuple[int, int] = (3, 8)
-    #: Least share of toxic fit rows (and least number) that have an entry, and its least log-ratio.
+    #: Least share of toxic fit rows (and least number) that have an entry, its least log-ratio and log-likelihood ratio.
     share: float = 0.01
-    rows: int = 4
+    rows: int = 3
     ratio: float = 1.5
+    telling: float = 12.0
     threshold: float = 0.3
     cache: int = 400_000
 
@@ -194,7 +195,8 @@ def lexicon(sample: DataFrame, channel: Channel, rules: ToxicRules) -> dict[str,
         if ratio >= rules.ratio:
             both = (a + b) / (n_toxic + n_clean)
             telling = a * math.log(a / n_toxic / both) + (b * math.log(b / n_clean / both) if b else 0.0)
-            out[e] = (ratio, telling)
+            if telling >= rules.telling:
+                out[e] = (ratio, telling)
     return out
 
 
