@@ -203,3 +203,36 @@ def test_hot_customer_and_hot_place(spark):
     assert counts == {p: sum(near(p, q, 0.02) for q in points) for p in points}
     total = pair_distance_sum(df.distinct(), ["customer_id"]).filter("customer_id = 'hot'").first()["distance_sum"]
     assert total == pytest.approx(sum(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 for p in points for q in points))
+
+
+def test_buildings_with_a_negative_number_of_flats_count_down(spark):
+    from waymark.operators.surroundings import cluster_apartment_units
+
+    clustered = spark.createDataFrame([(1, 7, 0.0, 0.0), (1, 7, 0.0, 0.01)], "customer_id long, cluster_id long, lat double, lon double")
+    apartments = spark.createDataFrame([(1, 0.0, 0.001, 10), (2, 0.001, 0.0, -3), (3, 0.0, 0.011, -8), (4, 5.0, 5.0, 100)],
+                                       "apartment_id long, lat double, lon double, units int")
+    assert [tuple(r) for r in cluster_apartment_units(clustered, apartments, 0.02).collect()] == [(1, 7, -1)]
+
+
+def test_the_split_rounds_its_fraction(spark):
+    from waymark.operators.ranking import portable_hash, split_train_test
+
+    df = spark.range(20_000).withColumnRenamed("id", "customer_id")
+    draw = F.pmod(portable_hash(0, F.col("customer_id")), F.lit(1000))
+    assert split_train_test(df, 0.57).filter((draw == 569) & ~F.col("is_training")).count() == 0
+
+
+def test_lookup_join_does_not_shuffle_the_big_side(spark):
+    from waymark.operators.lookups import lookup_join
+
+    codes = spark.range(1000).groupBy((F.col("id") % 50).alias("code")).agg(F.sum("id").alias("value"))
+    big = spark.range(1000).withColumn("code", F.col("id") % 60)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(big, codes, "code", "value", -1)
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.filter("value = -1").count() == 160
+        assert lookup_join(big, codes, "code", "value", -1, broadcast_rows=10).filter("value = -1").count() == 160
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

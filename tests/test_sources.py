@@ -81,3 +81,18 @@ def test_geojson_document_lines(spark, tmp_path):
     found = json.loads(document)
     assert [f["id"] for f in found["features"]] == [0, 1, -1]
     assert found["features"][0]["geometry"]["coordinates"] == [55.0, 37.0] and found["features"][0]["properties"]["hintContent"] == 'a "b"'
+
+
+def test_no_text_of_a_field_ends_the_job(spark):
+    from pyspark.sql import functions as F
+
+    from waymark.functions import text
+
+    odd = ["9999999999", "-9999999999", "1e400", "1e5", "+7", "-0", "", " ", None, "9" * 400, "12.5", "NaN", "840", "2147483648", "é"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    got = {r["t"]: r for r in df.select(
+        "t", text.clean_currency(F.col("t")).alias("currency"), text.clean_mcc(F.col("t")).alias("mcc"), text.clean_numeric(F.col("t")).alias("number"),
+        text.clean_date(F.col("t")).alias("date"), text.clean_coordinate(F.col("t")).alias("place")).collect()}
+    default = got[""]["currency"]
+    assert got["840"]["currency"] == 840 and got["+7"]["currency"] == 7 and got["12.5"]["currency"] == 12
+    assert all(got[t]["currency"] == default for t in ("9999999999", "-9999999999", "1e400", "9" * 400, "2147483648", None, "é"))

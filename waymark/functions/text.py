@@ -21,7 +21,8 @@ def clean_mcc(text: Column) -> Column:
 
 
 def clean_currency(text: Column, default: int = fixed.DEFAULT_CURRENCY) -> Column:
-    return clean_numeric(text, default).cast("int")
+    """Numbers beyond an integer count as missing."""
+    return F.coalesce(clean_numeric(text, default).try_cast("int"), F.lit(default))
 
 
 def clean_date(text: Column) -> Column:

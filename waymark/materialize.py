@@ -25,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    return _local_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="waymark-"))
+    if context.applicationId not in _local_folder:
+        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="waymark-")
+    return _local_folder[context.applicationId]
 
 
 def new_path(spark: SparkSession) -> str:

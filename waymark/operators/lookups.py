@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import geo
+from waymark.materialize import cut_lineage
 
 
 def target_point(target: str) -> tuple[Column, Column]:
@@ -16,13 +17,19 @@ def target_point(target: str) -> tuple[Column, Column]:
     return F.col(f"{target}_lat"), F.col(f"{target}_lon")
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], value: str, default) -> DataFrame:
+#: Rows of a lookup table up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def lookup_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], value: str, default, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add `value` from a table with one row per key, `default` where it has none.
 
-    The table is not broadcast by hint: AQE does it when the measured size allows.
+    The table is written and counted. Up to `broadcast_rows` rows it is broadcast, so `df` isn't shuffled on a hot key;
+    larger ones are joined by a shuffle, whose skewed partitions AQE splits.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    found = df.join(table.select(*keys, value), keys, "left")
+    stored = cut_lineage(table.select(*keys, value))
+    found = df.join(F.broadcast(stored) if stored.count() <= broadcast_rows else stored, keys, "left")
     return found.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 

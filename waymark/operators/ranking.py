@@ -110,7 +110,7 @@ def portable_hash(seed: int, *values: Column) -> Column:
 
 def split_train_test(df: DataFrame, train_fraction: float, seed: int = 0, key: str = "customer_id") -> DataFrame:
     """Add `is_training`. The key decides, so a customer never is on both sides."""
-    return df.withColumn("is_training", F.pmod(portable_hash(seed, F.col(key)), F.lit(1000)) < int(train_fraction * 1000))
+    return df.withColumn("is_training", F.pmod(portable_hash(seed, F.col(key)), F.lit(1000)) < round(train_fraction * 1000))
 
 
 def sample_point_per_group(points: DataFrame, seed: int = 0, by: Sequence[str] = ("customer_id",)) -> DataFrame:

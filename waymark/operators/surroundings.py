@@ -90,7 +90,7 @@ def cluster_apartment_units(clustered: DataFrame, apartments: DataFrame, radius:
     Buildings are numbered along strips one radius wide, and each run of 256 neighbours shares a row of four
     words of bits. A place then is a few such rows of buildings in reach, worked out once and not per
     customer; a cluster is their bitwise union. The flats in a word follow from one mask per
-    binary digit of the number of flats.
+    binary digit of the number of flats, and one more per digit for buildings with a negative number.
     """
     cluster = ["customer_id", "cluster_id"]
     strip = F.floor(F.col("lat") / radius)
@@ -101,15 +101,18 @@ def cluster_apartment_units(clustered: DataFrame, apartments: DataFrame, radius:
         .withColumn("_mark", F.expr(f"shiftleft(1L, cast(_number % {WORD} as int))"))
         .select("lat", "lon", "units", "_word", "_mark")
     )
-    digits = range((marked.agg(F.max("units")).first()[0] or 0).bit_length())
+    least, most = marked.agg(F.min("units"), F.max("units")).first()
+    # (sign, binary digit) of what the numbers of flats are made of.
+    digits = [(1, d) for d in range(max(0, most or 0).bit_length())] + [(-1, d) for d in range(max(0, -(least or 0)).bit_length())]
     run, place = F.floor(F.col("_word") / WORDS).alias("_run"), F.col("_word") % WORDS
     none = F.lit(0).cast("bigint")
 
-    def mask(word, digit):
-        chosen = (place == word) & (F.col("units").bitwiseAND(F.lit(1 << digit)) != 0)
-        return F.bit_or(F.when(chosen, F.col("_mark")).otherwise(none)).alias(f"_mask_{word}_{digit}")
+    def mask(word, sign, digit):
+        size = F.greatest(F.col("units") * F.lit(sign), none)
+        chosen = (place == word) & (size.bitwiseAND(F.lit(1 << digit)) != 0)
+        return F.bit_or(F.when(chosen, F.col("_mark")).otherwise(none)).alias(f"_mask_{word}_{sign}_{digit}")
 
-    masks = marked.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), *[mask(w, d) for w in range(WORDS) for d in digits]).drop("_n")
+    masks = marked.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), *[mask(w, s, d) for w in range(WORDS) for s, d in digits]).drop("_n")
     # The marks of a word are different bits, so their sum is their union.
     reach = (
         radius_aggregate(clustered.select(*POINT).distinct(), marked, radius, "_mark", "_bits", group=["_word"])
@@ -120,6 +123,6 @@ def cluster_apartment_units(clustered: DataFrame, apartments: DataFrame, radius:
         *[F.bit_or(f"_bits_{w}").alias(f"_bits_{w}") for w in range(WORDS)])
     total = none
     for w in range(WORDS):
-        for d in digits:
-            total = total + F.bit_count(F.col(f"_bits_{w}").bitwiseAND(F.col(f"_mask_{w}_{d}"))) * F.lit(1 << d)
+        for s, d in digits:
+            total = total + F.bit_count(F.col(f"_bits_{w}").bitwiseAND(F.col(f"_mask_{w}_{s}_{d}"))) * F.lit(s << d)
     return met.join(masks, "_run").groupBy(*cluster).agg(F.sum(total).alias("cluster_units"))

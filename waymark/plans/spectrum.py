@@ -21,6 +21,9 @@ K = fixed.SPECTRUM_POINTS
 STEP_NAMES = [f"step_{i}" for i in range(1, K)]
 SHARE_NAMES = [f"share_{i}" for i in range(1, K + 1)]
 
+#: K-Means starts from each of these, and the best run counts.
+SEEDS = (0, 1, 2)
+
 
 def target_visits(tx: DataFrame, target: str) -> DataFrame:
     """Visits per customer and place, with `d2` to the customer's known target; customers without one are left out."""
@@ -97,7 +100,7 @@ def distance_to_centroid(vectors: DataFrame, model: KMeansModel, features: str =
     )
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = (0,), features: str = "features",
+def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = SEEDS, features: str = "features",
                max_iter: int = 20) -> KMeansModel:
     """Best of one run per seed, by training cost."""
     models = [
@@ -106,7 +109,7 @@ def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = (0,), features
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_score_by_k(vectors: DataFrame, ks: Sequence[int] = range(5, 161, 5), seeds: Sequence[int] = (0,),
+def kmeans_score_by_k(vectors: DataFrame, ks: Sequence[int] = range(5, 161, 5), seeds: Sequence[int] = SEEDS,
                       features: str = "features") -> DataFrame:
     """(k, mean_distance): mean distance to the own centre for each number of clusters."""
     stored = cut_lineage(vectors.select(features))

@@ -14,8 +14,6 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Hash instead of sort-merge joins where the measured partitions are small enough.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # Set-valued aggregates keep hashing longer before they fall back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

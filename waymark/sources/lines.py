@@ -60,11 +60,11 @@ def add_row_id(df: DataFrame, order_by: Sequence[str] = (), name: str = "id", st
     part = F.shiftright("_at", 33)
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    # One entry per partition of the table, not per row.
-    offset, pairs = start, []
-    for row in sorted(sizes, key=lambda r: r["_part"]):
-        pairs += [F.lit(row["_part"]), F.lit(offset)]
-        offset += row["_n"]
-    if not pairs:
-        return ranged.withColumn(name, F.col("_at")).drop("_at")
-    return ranged.withColumn(name, F.element_at(F.create_map(*pairs), part) + place).drop("_at")
+    # One entry per partition of the table, not per row; the partition's number is its place in the array.
+    rows_of = {r["_part"]: r["_n"] for r in sizes}
+    offset, offsets = start, []
+    for p in range(max(rows_of, default=0) + 1):
+        offsets.append(offset)
+        offset += rows_of.get(p, 0)
+    known = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+    return ranged.withColumn(name, F.element_at(known, (part + 1).cast("int")) + place).drop("_at")
