@@ -1,20 +1,26 @@
 """Crowded groups, cut into blocks.
 
 Several operators compare every point of a group with every other. Groups up to a size do so
-in a plain join. A larger group would be one hot task and one row per pair, so it is cut into
-blocks, arrays of about `size` points chosen by hash: points meet blocks, or blocks meet
-blocks, and a higher-order function reduces each meeting to one value on the spot. No
-pair of a crowded group becomes a row, and its work spreads over many join keys.
+in a plain join. A larger group would be one hot task and one row per pair, so both of its sides are cut
+into blocks of about `size` rows by hash, and every pair of blocks is a key of its own. A pair of blocks meets as two
+small tables in one vectorised step. No pair of a crowded group becomes a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLOCK_SIZE = 256
+# Executors need not have this package: the functions below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BLOCK_SIZE = 1024
 
 
 def split_crowded(df: DataFrame, keys: Sequence[str], size: int = BLOCK_SIZE) -> tuple[DataFrame, DataFrame | None]:
@@ -33,10 +39,30 @@ def split_crowded(df: DataFrame, keys: Sequence[str], size: int = BLOCK_SIZE) ->
     return df.join(crowded, list(keys), "left_anti"), df.join(crowded, list(keys))
 
 
-def into_blocks(crowded: DataFrame, keys: Sequence[str], values: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    """One row per block: keys, `_block`, `_n_blocks`, and `_rows`, an array of structs of `values`."""
-    return (
-        crowded.withColumn("_block", F.pmod(F.xxhash64(*spread), F.col("_n_blocks")).cast("int"))
-        .groupBy(*keys, "_block", "_n_blocks")
-        .agg(F.collect_list(F.struct(*values)).alias("_rows"))
-    )
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+         schema: T.StructType, half: bool = False) -> DataFrame:
+    """`fn` of every pair of blocks, `left` by `right`, of each value of `keys` that both sides have.
+
+    The blocks' numbers are the columns `_i` and `_j`. With `half` only pairs with _i <= _j meet, for a table with itself.
+    """
+    keys = list(keys)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    parts = blocks(left, "_n_left").join(blocks(right, "_n_right"), keys)
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
+        rows = df.join(parts, keys).withColumn(own, F.pmod(F.xxhash64(*df.columns), F.col(n_own)).cast("int")).withColumn(other, every)
+        rows = rows.filter("_i <= _j") if half else rows
+        # New names for the same columns, as both sides may come from one table.
+        return rows.select(*[F.col(c).alias(c) for c in [*df.columns, "_i", "_j"]])
+
+    by = [*keys, "_i", "_j"]
+    first, second = dealt(left, "_i", "_n_left", "_j", "_n_right"), dealt(right, "_j", "_n_right", "_i", "_n_left")
+    return first.groupBy(*by).cogroup(second.groupBy(*by)).applyInPandas(lambda a, b: fn(a, b), schema)
+
+
+def fields(df: DataFrame, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, df.schema[n].dataType) for n in names]

@@ -7,13 +7,21 @@ expanded to those cells, the other side sits in its own cell, and the exact test
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions import geo
-from waymark.operators.blocks import BLOCK_SIZE, into_blocks, split_crowded
+from waymark.operators.blocks import BLOCK_SIZE, fields, meet, split_crowded
+
+# Executors need not have this package: the functions below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_RADII = 2
 
@@ -68,28 +76,38 @@ def radius_aggregate(points: DataFrame, others: DataFrame, radius: float, value:
         "o_lat", "o_lon", radius,
     )
     probe = _probe(points.select(*by, "lat", "lon"), "lat", "lon", radius)
-    plain, crowded = split_crowded(placed, [*keys, *group], block_size)
-
-    def near(lat, lon):
-        return geo.within_radius(F.col("lat"), F.col("lon"), lat, lon, radius)
-
-    pairs = probe.join(plain, keys).filter(near(F.col("o_lat"), F.col("o_lon")))
+    plain, crowded = split_crowded(placed, keys, block_size)
+    pairs = probe.join(plain, keys).filter(geo.within_radius(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"), radius))
     single = pairs.select(*by, "lat", "lon", *group, F.col("_value").alias("_sum"))
 
     if crowded is not None:
-        single = single.unionByName(_meet_blocks(probe, crowded, keys, by, group, kind, near))
+        out = [*by, "lat", "lon", *group]
+        schema = T.StructType([*fields(probe, *by, "lat", "lon"), *fields(placed, *group, "_value")])
+        met = meet(probe.select(*keys, "lat", "lon"), crowded.drop("_n_blocks").fillna(0, ["_value"]), keys, block_size,
+                   lambda p, o: sums_within(p, o, [*by, "lat", "lon"], list(group), radius), schema)
+        single = single.unionByName(met.select(*out, F.col("_value").alias("_sum")))
     return single.groupBy(*by, "lat", "lon", *group).agg(F.sum("_sum").alias(name))
 
 
-def _meet_blocks(probe, crowded, keys, by, group, kind, near):
-    def add(total, other):
-        more = F.coalesce(total, F.lit(0).cast(kind)) + other["_value"]
-        return F.when(near(other["o_lat"], other["o_lon"]), more).otherwise(total)
-
-    blocks = into_blocks(crowded, [*keys, *group], ["o_lat", "o_lon", "_value"], ["o_lat", "o_lon"])
-    return probe.join(blocks, keys).select(
-        *by, "lat", "lon", *group, F.aggregate("_rows", F.lit(None).cast(kind), add).alias("_sum")
-    ).filter(F.col("_sum").isNotNull())
+def sums_within(points: pd.DataFrame, others: pd.DataFrame, columns: list[str], group: list[str], radius: float) -> pd.DataFrame:
+    """Summed `_value` of the others within `radius` of each point, per `group`, where there are any."""
+    if points.empty or others.empty:
+        return pd.DataFrame(columns=[*columns, *group, "_value"])
+    if group:
+        others = others.sort_values(group, ignore_index=True)
+        starts = np.flatnonzero(~others.duplicated(group).to_numpy())
+    else:
+        starts = np.zeros(1, np.int64)
+    d_lat = points["lat"].to_numpy()[:, None] - others["o_lat"].to_numpy()
+    d_lon = points["lon"].to_numpy()[:, None] - others["o_lon"].to_numpy()
+    near = d_lat * d_lat + d_lon * d_lon <= radius * radius
+    total = np.add.reduceat(np.where(near, others["_value"].to_numpy(), 0), starts, axis=1)
+    row, which = np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
+    out = points[columns].iloc[row].reset_index(drop=True)
+    for name in group:
+        out[name] = others[name].iloc[starts[which]].to_numpy()
+    out["_value"] = total[row, which]
+    return out
 
 
 def customer_near_pairs(points: DataFrame, radius: float, by: Sequence[str] = ("customer_id",)) -> DataFrame:
@@ -121,21 +139,18 @@ def pair_distance_sum(points: DataFrame, keys: Sequence[str], weight: str | None
     if crowded is None:
         return small
 
-    def total(left, right):
-        def outer(acc, p):
-            def inner(part, q):
-                return part + q["w"] * geo.distance(p["lat"], p["lon"], q["lat"], q["lon"])
-            return acc + p["w"] * F.aggregate(right, F.lit(0.0), inner)
-        return F.aggregate(left, F.lit(0.0), outer)
-
-    blocks = into_blocks(crowded, keys, ["lat", "lon", "w"], ["lat", "lon"])
-    numbers = F.explode(F.sequence(F.lit(0), F.col("_n_blocks") - 1))
-    first = blocks.withColumn("_other", numbers)
-    second = blocks.select(
-        *keys, F.col("_rows").alias("_other_rows"), F.col("_block").alias("_other"), numbers.alias("_block")
-    )
-    large = (
-        first.join(second, [*keys, "_block", "_other"])
-        .groupBy(*keys).agg(F.sum(total(F.col("_rows"), F.col("_other_rows"))).alias(name))
-    )
-    return small.unionByName(large)
+    sums = meet(crowded.drop("_n_blocks"), crowded.drop("_n_blocks"), keys, block_size,
+                lambda p, q: pair_sum(p, q, keys), T.StructType([*fields(crowded, *keys), T.StructField("_sum", T.DoubleType())]), half=True)
+    return small.unionByName(sums.groupBy(*keys).agg(F.sum("_sum").alias(name)))
+
+
+def pair_sum(points: pd.DataFrame, others: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Weighted sum of distances between two blocks; a pair of different blocks counts in both orders."""
+    if points.empty or others.empty:
+        return pd.DataFrame(columns=[*keys, "_sum"])
+    d_lat = points["lat"].to_numpy()[:, None] - others["lat"].to_numpy()
+    d_lon = points["lon"].to_numpy()[:, None] - others["lon"].to_numpy()
+    total = points["w"].to_numpy() @ np.sqrt(d_lat * d_lat + d_lon * d_lon) @ others["w"].to_numpy()
+    out = points[keys].head(1).copy()
+    out["_sum"] = total if points["_i"].iloc[0] == points["_j"].iloc[0] else 2 * total
+    return out

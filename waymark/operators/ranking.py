@@ -6,15 +6,23 @@ keeps at most k rows per group in every task before the shuffle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions import geo
-from waymark.operators.blocks import BLOCK_SIZE, into_blocks, split_crowded
+from waymark.operators.blocks import BLOCK_SIZE, fields, meet, split_crowded
 from waymark.sources.lines import add_row_id
 
+# Executors need not have this package: the functions below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def best_point_per_customer(scored: DataFrame, score: str = "score", keep: Sequence[str] = ()) -> DataFrame:
     """The point with the highest score of each customer, smaller latitude and longitude first on ties."""
@@ -38,7 +46,7 @@ def nearest_points_k(anchors: DataFrame, points: DataFrame, k: int = 5, by: Sequ
     """For each anchor its k nearest distinct points in the same group, itself included.
 
     Result: `by`, lat, lon of the anchor, rank, near_lat, near_lon, d2 and `keep` of the near point. In groups above
-    `block_size` points each block gives its own k nearest, and the last ranking merges them.
+    `block_size` points each pair of blocks gives its own k nearest, and the last ranking merges them.
     """
     by = list(by)
     near = points.select(*by, F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), *keep)
@@ -47,20 +55,30 @@ def nearest_points_k(anchors: DataFrame, points: DataFrame, k: int = 5, by: Sequ
     names = ["d2", "near_lat", "near_lon", *keep]
     found = anchors.select(*by, "lat", "lon").join(plain, by).select(*by, "lat", "lon", d2.alias("d2"), *names[1:])
     if crowded is not None:
-        blocks = into_blocks(crowded, by, names[1:], ["near_lat", "near_lon"])
-
-        def measured(q):
-            away = geo.squared_distance(F.col("lat"), F.col("lon"), q["near_lat"], q["near_lon"])
-            return F.struct(away.alias("d2"), *[q[n].alias(n) for n in names[1:]])
-
-        nearest = F.slice(F.array_sort(F.transform("_rows", measured)), 1, k)
-        found = found.unionByName(
-            anchors.select(*by, "lat", "lon").join(blocks, by).select(*by, "lat", "lon", F.inline(nearest))
-        )
+        left = anchors.select(*by, "lat", "lon")
+        schema = T.StructType([*fields(left, *by, "lat", "lon"), T.StructField("d2", T.DoubleType()), *fields(near, "near_lat", "near_lon", *keep)])
+        found = found.unionByName(meet(left, crowded.drop("_n_blocks"), by, block_size, lambda p, q: nearest_in(p, q, k, list(schema.names)), schema))
     order = Window.partitionBy(*by, "lat", "lon").orderBy("d2", "near_lat", "near_lon")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def nearest_in(anchors: pd.DataFrame, points: pd.DataFrame, k: int, columns: list[str]) -> pd.DataFrame:
+    """The k nearest of a block of points for each of a block of anchors, by distance, latitude, longitude."""
+    if anchors.empty or points.empty:
+        return pd.DataFrame(columns=columns)
+    points = points.sort_values(["near_lat", "near_lon"], ignore_index=True)
+    d_lat = anchors["lat"].to_numpy()[:, None] - points["near_lat"].to_numpy()
+    d_lon = anchors["lon"].to_numpy()[:, None] - points["near_lon"].to_numpy()
+    d2 = d_lat * d_lat + d_lon * d_lon
+    first = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    row = np.repeat(np.arange(len(anchors)), first.shape[1])
+    own = [c for c in columns if c in anchors.columns]
+    out = pd.concat([anchors[own].iloc[row].reset_index(drop=True),
+                     points[[c for c in columns if c not in own and c != "d2"]].iloc[first.ravel()].reset_index(drop=True)], axis=1)
+    out["d2"] = np.take_along_axis(d2, first, axis=1).ravel()
+    return out[columns]
+
+
 def consecutive_distance(ranked: DataFrame, by: Sequence[str] = ("customer_id",)) -> DataFrame:
     """Squared distance of each ranked point to the one before; NULL for the first."""
     order = Window.partitionBy(*by, "lat", "lon").orderBy("rank")
