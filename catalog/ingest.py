@@ -247,7 +247,9 @@ FROM (SELECT DISTINCT customer_id, terminal_id FROM tx) GROUP BY customer_id""",
 def export_geojson_documents(spark, sf_dir):
     points = views.tx(spark, sf_dir).select("customer_id", "terminal_id", "lat", "lon").distinct().select(
         "customer_id", F.col("terminal_id").cast("bigint").alias("id"), "lat", "lon", F.lit("h").alias("hint"), F.lit("p").alias("preset"))
-    lines = files.geojson_documents(points)
+    path = new_path(spark)
+    files.export_geojson(points, path)
+    lines = spark.read.schema(f"customer_id {points.schema['customer_id'].dataType.simpleString()}, value string").json(path)
     number = F.regexp_extract("value", r'"id":(-?\d+)', 1)
     return lines.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.nullif(number, F.lit("")).cast("bigint")).alias("id_sum"))

@@ -77,8 +77,8 @@ def test_geojson_document_lines(spark, tmp_path):
     df = spark.createDataFrame([("c", 0, 55.0, 37.0, "a \"b\"", "p"), ("c", 1, 55.5, 37.5, "b", "p"), ("d", 0, 1.0, 2.0, "x", "q")],
                                "customer_id string, id long, lat double, lon double, hint string, preset string")
     files.export_geojson(df, str(tmp_path / "out"))
-    document = "\n".join(p.read_text() for p in sorted((tmp_path / "out" / "customer_id=c").glob("*.txt")))
-    found = json.loads(document)
+    lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("bucket=*/*.json"), key=lambda p: p.name) for x in p.read_text().splitlines()]
+    found = json.loads("\n".join(x["value"] for x in lines if x["customer_id"] == "c"))
     assert [f["id"] for f in found["features"]] == [0, 1, -1]
     assert found["features"][0]["geometry"]["coordinates"] == [55.0, 37.0] and found["features"][0]["properties"]["hintContent"] == 'a "b"'
 

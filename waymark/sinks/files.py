@@ -100,13 +100,16 @@ def geojson_documents(df: DataFrame) -> DataFrame:
     return opening.unionByName(features).unionByName(closing)
 
 
-def export_geojson(df: DataFrame, path: str, documents: bool = True) -> None:
-    """A folder per customer: one document, or with documents=False one feature per line."""
-    if documents:
-        lines = (
-            geojson_documents(df).repartition("customer_id").sortWithinPartitions("customer_id", "_line")
-            .select("customer_id", "value")
-        )
-    else:
-        lines = geojson_features(df).select("customer_id", "value")
-    lines.write.partitionBy("customer_id").text(path)
+def export_geojson(df: DataFrame, path: str, documents: bool = True, buckets: int = 64) -> None:
+    """Lines of (customer_id, value) as JSON, in a folder per hash bucket of the customers.
+
+    A customer's values in the order of the files are one document, or with documents=False one feature each. Files are
+    ranges of customers and lines, so a customer with very many points is spread over several.
+    """
+    lines = geojson_documents(df) if documents else geojson_features(df).withColumn("_line", F.col("id"))
+    order = ["bucket", "customer_id", "_line"]
+    (
+        lines.withColumn("bucket", F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).cast("int"))
+        .repartitionByRange(*order).sortWithinPartitions(*order).select("bucket", "customer_id", "value")
+        .write.partitionBy("bucket").json(path)
+    )
