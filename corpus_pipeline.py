@@ -13,8 +13,8 @@ from waymark.llm import decontaminate, mixing, secrets, simhash, toxicity
 from waymark.llm.common import crc_of_id, table
 from waymark.materialize import Written
 
-#: Five words, and fingerprints that agree in at least 0.8 of their 64 bits.
-NEAR_DUPLICATES = simhash.SimHashRules(width=5, radius=12, bands=(12, 2))
+#: Sets of five words with a Jaccard similarity of at least 0.8. Fingerprints over 28 bits apart are not compared (see the README).
+NEAR_DUPLICATES = simhash.SimHashRules(width=5, radius=28, bands=(12, 2), similarity=0.8)
 TOXIC = toxicity.ToxicRules()
 
 

@@ -94,3 +94,46 @@ def test_query_of_the_whole_table(spark):
     got = queries.op1_simhash(spark, "/root/testdata/sf0.001").collect()
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert Counter((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("blocks", [(4096, 1 << 21), (4, 600)])
+def test_similar_links_equal_brute_force_jaccard(spark, blocks):
+    """Pairs planted at similarities from 0.5 to 0.95 in steps of 0.05, some short; classes are those of all pairs at 0.8 or more."""
+    rng, texts = np.random.default_rng(9), []
+    for n in (12, 60, 300):
+        for k, s in enumerate(np.repeat(np.arange(0.5, 0.96, 0.05), 4)):
+            base = [f"{n}x{k}x{i}" for i in range(n)]
+            same = round((n - 4) * 2 * s / (1 + s)) + 4
+            texts += [" ".join(base), " ".join(base[:same] + [f"{n}y{k}y{i}" for i in range(n - same)])]
+    crowd = [f"c{i}" for i in range(200)]
+    texts += [" ".join(crowd[:p] + [f"z{p}"] + crowd[p:]) for p in rng.integers(0, 200, 30)] + [" ".join(crowd[:100] * 3), " ".join(crowd[:100] * 8)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    rules = simhash.SimHashRules(width=5, radius=28, bands=(12, 2), similarity=0.8)
+    made = docs.select("doc_id", simhash._print_udf(rules)("text").alias("p")).select("doc_id", "p.*").localCheckpoint()
+    links = simhash.similar_links(docs, made, rules, *blocks).collect()
+    sets = {}
+    for t in texts:
+        h = np.unique(simhash.shingle_hashes(t.encode(), 5))
+        sets[int(np.uint64(simhash.set_name(h)).astype(np.int64))] = set(h.tolist())
+    names = list(sets)
+
+    def classes(pairs):
+        label = {x: x for x in names}
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label |= {x: new for x in names if label[x] == old}
+        return {frozenset(x for x in names if label[x] == r) for r in label.values()}
+
+    near = [(a, b) for i, a in enumerate(names) for b in names[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 60 and classes((r["u"], r["v"]) for r in links) == classes(near)
+
+
+def test_templates_stay_and_real_copies_go(spark):
+    """Texts that share two thirds of their shingles are no copies; those that share 0.85 are."""
+    body = [f"t{i}" for i in range(240)]
+    template = [(i, " ".join(body + [f"o{i}x{j}" for j in range(50)])) for i in range(1, 21)]
+    copies = [(100 + i, " ".join([f"p{i}x{j}" for j in range(280)] + [f"q{i % 2}x{i}x{j}" for j in range(20)])) for i in range(20)]
+    copies += [(200 + i, " ".join([f"p{i}x{j}" for j in range(280)] + [f"r{i}x{j}" for j in range(20)])) for i in range(20)]
+    docs = spark.createDataFrame(template + copies, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs, simhash.SimHashRules(width=5, radius=28, bands=(12, 2), similarity=0.8)).collect()}
+    assert kept == {i for i, _ in template} | {100 + i for i in range(20)}

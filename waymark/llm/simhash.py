@@ -10,6 +10,9 @@ Only fingerprints that share a blocking key are compared. Two kinds of keys are
 * `bands`: MinHash bands of the same shingles, for radii too wide for blocks. A pair whose shingle sets have
   similarity s meets with probability 1 - (1 - s ** rows) ** bands.
 
+With `similarity`, fingerprints only sort out: classes are of sets of shingles, a fingerprint counts every shingle of a
+set once, and a pair within `radius` links if the Jaccard similarity of its two sets, computed in full, is at least that.
+
 Fingerprints under one key lie side by side as bit planes: lane by lane, 64 to a word. A fingerprint meets 64 others
 at once: plane by plane the differing bits are added to vertical counters by carry-save steps, and words whose lanes
 all exceed the radius are left. Keys with many fingerprints are dealt out as pairs of blocks of bounded size. Every
@@ -41,6 +44,8 @@ SEED = 42
 BLOCK_ROWS = 4096
 #: Words of 64 lanes that are worked on at once.
 ITEMS = 1 << 16
+#: Shingles of the sets of one key that are compared in one go, and shingles that are looked up at once.
+BLOCK_SHINGLES = 1 << 21
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -50,6 +55,8 @@ class SimHashRules:
     radius: int = 2
     #: (bands, rows of a band), or None for blocks of the fingerprint.
     bands: tuple[int, int] | None = None
+    #: Least Jaccard similarity of a link between sets of shingles (with bands only), or None to link by fingerprints.
+    similarity: float | None = None
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -85,22 +92,47 @@ def band_keys(h: np.ndarray, bands: int, rows: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def set_name(h: np.ndarray) -> int:
+    """A name for a set of shingles, from its sorted hashes."""
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+
+
 def _print_udf(rules: SimHashRules):
-    kind = "struct<print:bigint,keys:array<bigint>>"
+    kind = "struct<print:bigint,keys:array<bigint>,node:bigint,n:bigint>"
 
     @F.arrow_udf(kind)
     def prints(text: pa.Array) -> pa.Array:
-        found, keys = [], []
+        found, keys, nodes, sizes = [], [], [], []
         for value in utf8(text):
             h = shingle_hashes(value or b"", rules.width)
-            found.append(majority(h) if len(h) else 0)
-            keys.append(band_keys(np.unique(h), *rules.bands) if rules.bands and len(h) else [])
+            own = np.unique(h) if rules.bands else h
+            found.append(majority(own if rules.similarity else h) if len(h) else 0)
+            keys.append(band_keys(own, *rules.bands) if rules.bands and len(h) else [])
+            nodes.append(set_name(own) if rules.similarity else found[-1])
+            sizes.append(len(own))
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         return pa.StructArray.from_arrays(
-            [pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["print", "keys"])
+            [signed(found), pa.array(keys, pa.list_(pa.int64())), signed(nodes), pa.array(sizes, pa.int64())], ["print", "keys", "node", "n"])
 
     return prints
 
 
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of each text: the name of its set, and the sorted hashes as bytes."""
+    for batch in batches:
+        nodes, shingles, size = [], [], 0
+        for value in utf8(batch.column(0)):
+            h = np.unique(shingle_hashes(value or b"", width))
+            nodes.append(set_name(h))
+            shingles.append(h.tobytes())
+            size += len(h)
+            if size >= BLOCK_SHINGLES:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(shingles, pa.binary())], ["node", "shingles"])
+                nodes, shingles, size = [], [], 0
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(shingles, pa.binary())], ["node", "shingles"])
+
+
 def planes_of(prints: np.ndarray) -> np.ndarray:
     """64 bit planes of as many lanes as there are fingerprints, in words of 64."""
     bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
@@ -137,10 +169,9 @@ def near_lanes(prints: np.ndarray, planes: np.ndarray, query: np.ndarray, word:
     return query[hit][at], word[hit][at] * 64 + lane
 
 
-def forest(prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> np.ndarray:
-    """For each row a row that it is linked with, directly or not; row i is compared with rows first[i] to last[i] - 1."""
-    n = len(prints)
-    label, planes = np.arange(n), planes_of(prints)
+def near_pairs(prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius; row i is compared with rows first[i] to last[i] - 1."""
+    planes = planes_of(prints)
     rows = np.flatnonzero(last > first)
     from_word, words = first[rows] // 64, (last[rows] - 1) // 64 - first[rows] // 64 + 1
     total = np.concatenate(([0], np.cumsum(words)))
@@ -153,12 +184,63 @@ def forest(prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int)
         alive = (ALL << low) & (ALL >> (np.uint64(64) - high))
         a, b = near_lanes(prints, planes, query, word, alive, radius)
         if len(a):
-            label = smallest_reachable(label[a], label[b], n)[label]
+            yield a, b
+
+
+def forest(prints: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> np.ndarray:
+    """For each row a row that it is linked with, directly or not; row i is compared with rows first[i] to last[i] - 1."""
+    n = len(prints)
+    label = np.arange(n)
+    for a, b in near_pairs(prints, first, last, radius):
+        label = smallest_reachable(label[a], label[b], n)[label]
+    return label
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of `others` have at least the Jaccard similarity `least` to `one`; all are sorted and not empty."""
+    both, at = np.zeros(len(others), np.int64), 0
+    n = np.fromiter(map(len, others), np.int64, len(others))
+    ends = np.cumsum(n)
+    while at < len(others):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + BLOCK_SHINGLES, side="right")))
+        every = np.concatenate(others[at:to])
+        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both[at:to] = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(n[at:to])[:-1])), dtype=np.int64)
+        at = to
+    return both >= least * (len(one) + n - both)
+
+
+def verified_forest(prints: np.ndarray, sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """As `forest`, with pairs linked by the similarity of their sets; row i is in the group of rows low[i] to high[i] - 1.
+
+    Pairs that are linked already, directly or not, need no comparison.
+    """
+    label, n = np.arange(len(prints)), np.fromiter(map(len, sets), np.int64, len(sets))
+    for a, b in near_pairs(prints, first, last, radius):
+        # No two sets are more similar than their sizes.
+        may = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
+        a, b = a[may], b[may]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        bounds = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True]))) if len(a) else []
+        for x, y in zip(bounds[:-1], bounds[1:]):
+            one, others = a[x], b[x:y]
+            others = others[label[others] != label[one]]
+            if len(others) == 0:
+                continue
+            linked = others[similar(sets[one], [sets[k] for k in others], least)]
+            if len(linked):
+                own = label[low[one]:high[one]]
+                roots = np.unique(label[np.append(linked, one)])
+                own[np.isin(own, roots)] = roots[0]
     return label
 
 
-def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of the rows (key, i, j, side, print), sorted so. Side 1 is met by side 0; a group with one side meets itself."""
+def _edges(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Links of the rows (key, i, j, side, print), sorted so. Side 1 is met by side 0; a group with one side meets itself.
+
+    With `similarity`, rows go on with (node, shingles), and links are between nodes.
+    """
     held: list[np.ndarray] | None = None
 
     def links(c: list[np.ndarray]) -> pa.RecordBatch:
@@ -169,9 +251,14 @@ def _edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         last = bounds[1:][group]
         split = np.add.reduceat(1 - c[3], bounds[:-1])[group] + bounds[:-1][group]
         first = np.where(c[1] == c[2], np.arange(len(prints)) + 1, split)
-        label = forest(prints, first, np.where(c[3] == 1, 0, last), radius)
+        last_met = np.where(c[3] == 1, 0, last)
+        if similarity is None:
+            label, name = forest(prints, first, last_met, radius), c[4]
+        else:
+            sets = [np.frombuffer(x, np.uint64) for x in c[6]]
+            label, name = verified_forest(prints, sets, bounds[:-1][group], last, first, last_met, radius, similarity), c[5]
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(c[4][moved]), pa.array(c[4][label[moved]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(name[moved]), pa.array(name[label[moved]])], ["u", "v"])
 
     for batch in batches:
         c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -243,17 +330,52 @@ def links(prints: DataFrame, rules: SimHashRules, block_rows: int = BLOCK_ROWS)
     )
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of `nodes` (node, doc_id), read again from a text of each; texts without an id are all read."""
+    ids = small(nodes.filter("doc_id is not null").select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null").select("doc_id", "text"))
+    sets = texts.select("text").mapInArrow(lambda batches: _sets(batches, width), "node bigint, shingles binary")
+    return sets.join(small(nodes.select("node")), "node", "left_semi").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, rules: SimHashRules, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (u, v) between sets of shingles that span every class of them, for (doc_id, print, keys, node, n) of `docs`."""
+    rows = Written(prints.select("node", "print", "n", F.explode("keys").alias("key")).distinct()).df
+    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).filter(F.col("count") > 1)
+    parts = F.least(F.col("count"), F.greatest(F.ceil(F.col("count") / block_rows), F.ceil(F.col("shingles") / block_shingles))).cast("long")
+    met = Written(rows.join(sizes.select("key", parts.alias("parts")), "key")).df
+    wanted = prints.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = _sets_of(docs, Written(wanted).df, rules.width)
+    own = F.pmod(F.xxhash64("node"), "parts")
+    dealt = (
+        met.select("key", "node", "print", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                (F.col("own") > F.col("other")).cast("long").alias("side"), "print", "node")
+        .join(sets, "node").select("key", "i", "j", "side", "print", "node", "shingles")
+    )
+    radius, similarity = rules.radius, rules.similarity
+    return (
+        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+        .mapInArrow(lambda batches: _edges(batches, radius, similarity), "u bigint, v bigint")
+        .repartition("u").mapInArrow(_thin, "u bigint, v bigint")
+    )
+
+
 def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, print, component_id) of every row: the fingerprint as a signed long, and the smallest id of its class."""
-    made = docs.select("doc_id", _print_udf(rules)("text").alias("_p")).select("doc_id", "_p.print", "_p.keys")
-    prints = Written(made).df
-    classes = label_components(links(prints, rules, block_rows))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    linked = Written(classes.withColumnRenamed("node", "print").join(first, "print").select("print", "root", "first")).df
+    made = docs.select("doc_id", _print_udf(rules)("text").alias("_p")).select("doc_id", "_p.*")
+    if rules.similarity:
+        prints = Written(made).df
+        classes = label_components(similar_links(docs, prints, rules, block_rows))
+    else:
+        prints = Written(made.select("doc_id", "print", "keys", "node")).df
+        classes = label_components(links(prints, rules, block_rows))
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    linked = Written(classes.join(first, "node").select("node", "root", "first")).df
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
-    named = linked.join(smallest, "root").select("print", "smallest")
-    by_print = first.join(named, "print", "left").select("print", F.coalesce("smallest", "first").alias("component_id"))
-    return prints.select("doc_id", "print").join(by_print, "print").select("doc_id", "print", "component_id")
+    named = linked.join(smallest, "root").select("node", "smallest")
+    by_node = first.join(named, "node", "left").select("node", F.coalesce("smallest", "first").alias("component_id"))
+    return prints.select("doc_id", "print", "node").join(by_node, "node").select("doc_id", "print", "component_id")
 
 
 def one_of_each(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
