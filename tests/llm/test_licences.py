@@ -40,3 +40,65 @@ def test_sql_agrees(spark):
     con.register("documents", documents)
     want = sorted(tuple(r) for r in con.sql(licences.scan_sql()).df()[["doc_id", "sentences", "licences"]].itertuples(index=False))
     assert sorted(tuple(r) for r in licences.scan(docs).collect()) == want
+
+
+CANONICAL = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 A Name\n\n" + MIT + '''THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+''',
+    "Apache-2.0": '''Copyright 2020 A Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+''',
+    "BSD-3-Clause": '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+''',
+    "GPL-3.0-or-later": '''This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+''',
+}
+CANONICAL["GPL-2.0-or-later"] = CANONICAL["GPL-3.0-or-later"].replace("version 3", "version 2").replace("software:", "software;")
+
+
+def test_canonical_texts_and_comment_headers(spark):
+    marks = {"plain": ("", "", ""), "hash": ("", "# ", ""), "slashes": ("", "// ", ""), "stars": ("/*\n", " * ", " */\n")}
+    rows = [(f"{name} {mark}", head + "".join(f"{lead}{line}".rstrip() + "\n" for line in text.splitlines()) + tail)
+            for name, text in CANONICAL.items() for mark, (head, lead, tail) in marks.items()]
+    got = {r["doc_id"]: (r["sentences"], r["licences"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    wrong = {k: v for k, v in got.items() if v[1] != k.split(" ")[0] + ":1"}
+    assert not wrong
+    whole = {"MIT": ("mit-grant", "mit-notice", "mit-warranty"), "Apache-2.0": ("named", "use", "copy", "warranty", "language"), "GPL-3.0-or-later": ("grant", "warranty", "details")}
+    assert all(part in got[f"{name} {mark}"][0] for name, parts in whole.items() for part in parts for mark in marks)

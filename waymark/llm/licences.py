@@ -1,7 +1,8 @@
 """Licence scan with DataFrame functions only: known sentences, then ordered rules over them.
 
 Texts are cut into sentences, and sentences are normalised: A-Z in lower case, everything but letters a-z and digits a
-blank. Known normalised sentences have identifiers. A text becomes the sequence of its sentences' identifiers, unknown ones
+blank. Known normalised sentences have identifiers; one that layout or stops within it have cut (lines that begin with a
+capital or a comment mark, `;`, `:`) is found as the run of pieces that make it up, and has the place of the first. A text becomes the sequence of its sentences' identifiers, unknown ones
 counted as gaps, and each rule is a sequence of identifiers with at most `gap` unknown sentences between two of them. Rules
 are tried in order; sentences that a rule takes are gone for the rules after it, so a rule stands before those it contains.
 
@@ -82,6 +83,8 @@ class LicenceRules:
     sentences: tuple[tuple[str, str], ...] = tuple({**SENTENCES, **_creative_commons()[0]}.items())
     rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES + _creative_commons()[1]
     gap: int = 2
+    #: Most pieces into which a known sentence may be cut.
+    pieces: int = 24
 
 
 #: A sentence ends at stops before white space, at an empty line, and before a line that starts with a capital letter.
@@ -98,19 +101,47 @@ def sentences_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, BREAK, -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def _known(parts: Column, rules: LicenceRules) -> Column:
+    """For each piece the identifier of the known sentence that begins with it, and of how many pieces that is."""
+    names = F.create_map(*[F.lit(x) for pair in rules.sentences for x in pair])
+    lengths = F.array(*[F.lit(n) for n in sorted({len(s) for s, _ in rules.sentences})])
+    starts = F.array(*[F.lit(x) for x in sorted({" ".join(s.split(" ")[:2]) for s, _ in rules.sentences})])
+    longest = max(len(s) for s, _ in rules.sentences)
+    named = lambda s: F.when(F.array_contains(lengths, F.length(s)), F.try_element_at(names, s))
+    found = lambda i, n: F.struct(i.alias("id"), n.cast("int").alias("n"))
+    none = found(F.lit(None).cast("string"), F.lit(1))
+
+    def joined(at: Column) -> Column:
+        """The longest run of pieces from `at` that is a known sentence."""
+        runs = F.transform(F.sequence(F.lit(2), F.lit(rules.pieces)), lambda n: found(named(F.array_join(F.slice(parts, at + 1, n), " ")), n))
+        hits = F.filter(runs, lambda r: r["id"].isNotNull() & (at + r["n"] <= F.size(parts)))
+        return F.try_element_at(hits, F.lit(-1))
+
+    def known(piece: Column, at: Column) -> Column:
+        two = F.when(piece.contains(" "), piece).otherwise(F.array_join(F.slice(parts, at + 1, 2), " "))
+        may = (F.length(piece) < longest) & F.array_contains(starts, F.substring_index(two, " ", 2))
+        one = named(piece)
+        return F.coalesce(F.when(may, joined(at)), F.when(one.isNotNull(), found(one, F.lit(1))), none)
+
+    return F.transform(parts, known)
+
+
 def rule_pattern(identifiers: tuple[str, ...], gap: int) -> str:
     return f"(<->){{0,{gap}}}".join(f"<{i.replace('.', '[.]')}>" for i in identifiers)
 
 
 def scan(docs: DataFrame, rules: LicenceRules = LicenceRules()) -> DataFrame:
     """(doc_id, sentences, licences) of every row: place:identifier of each known sentence, and licence:number of each rule that matches."""
-    names = F.create_map(*[F.lit(x) for pair in rules.sentences for x in pair])
-    lengths = F.array(*[F.lit(n) for n in sorted({len(s) for s, _ in rules.sentences})])
-    known = F.transform(
-        sentences_of(F.coalesce("text", F.lit(""))), lambda s: F.when(F.array_contains(lengths, F.length(s)), F.try_element_at(names, s)))
-    out = docs.select("doc_id", known.alias("_known"))
-    any_known = F.exists("_known", lambda i: i.isNotNull())
-    out = out.withColumn("_sequence", F.when(any_known, F.array_join(F.transform("_known", lambda i: F.coalesce(F.concat(F.lit("<"), i, F.lit(">")), F.lit("<->"))), "")).otherwise(""))
+    out = docs.select("doc_id", sentences_of(F.coalesce("text", F.lit(""))).alias("_parts"))
+    out = out.select("doc_id", _known(F.col("_parts"), rules).alias("_known"))
+    runs = F.filter(F.transform("_known", lambda x, at: F.struct(at.alias("at"), x["n"].alias("n"))), lambda r: r["n"] > 1)
+    out = out.withColumn("_runs", runs)
+    # Pieces within a longer sentence are no sentences of their own.
+    within = lambda at: F.exists("_runs", lambda r: (r["at"] < at) & (at < r["at"] + r["n"]))
+    out = out.withColumn("_known", F.transform("_known", lambda x, at: F.struct(
+        F.when(~within(at), x["id"]).alias("id"), F.when(within(at), "").otherwise(F.coalesce(F.concat(F.lit("<"), x["id"], F.lit(">")), F.lit("<->"))).alias("mark"))))
+    any_known = F.exists("_known", lambda x: x["id"].isNotNull())
+    out = out.withColumn("_sequence", F.when(any_known, F.array_join(F.col("_known")["mark"], "")).otherwise(""))
     for k, (_, identifiers) in enumerate(rules.rules):
         pattern = rule_pattern(identifiers, rules.gap)
         found = F.col("_sequence").contains(f"<{identifiers[0]}>")
@@ -121,7 +152,7 @@ def scan(docs: DataFrame, rules: LicenceRules = LicenceRules()) -> DataFrame:
         by_name.setdefault(name, []).append(k)
     totals = {name: sum((F.col(f"_n{k}") for k in ks[1:]), F.col(f"_n{ks[0]}")) for name, ks in by_name.items()}
     licences = F.concat_ws(",", *[F.when(n > 0, F.concat_ws(":", F.lit(name), n.cast("string"))) for name, n in totals.items()])
-    places = F.transform("_known", lambda i, at: F.when(i.isNotNull(), F.concat_ws(":", at.cast("string"), i)))
+    places = F.transform("_known", lambda x, at: F.when(x["id"].isNotNull(), F.concat_ws(":", at.cast("string"), x["id"])))
     return out.select("doc_id", F.array_join(places, ",").alias("sentences"), licences.alias("licences"))
 
 
