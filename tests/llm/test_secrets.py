@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -59,3 +61,14 @@ def test_redaction(spark, nothing, odd):
     assert secrets.redacted(nothing).count() == 0
     same = secrets.redacted(odd)
     assert same.columns == odd.columns and same.exceptAll(odd).count() == 0
+
+
+def test_random_letters_are_found_and_glued_words_are_not(spark):
+    rng = random.Random(3)
+    kinds = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "both": string.ascii_letters, "base32": string.ascii_uppercase + "234567"}
+    rows = [(f"{kind} {n}", f"key {''.join(rng.choice(letters) for _ in range(n))} end") for kind, letters in kinds.items() for n in (20, 32, 40) for _ in range(200)]
+    words = "international configuration management customer location transaction category apartment distance neighbour repository developer".split()
+    rows += [("words", "see " + "".join(rng.sample(words, 3)) + " and " + "".join(w.title() for w in rng.sample(words, 4))) for _ in range(200)]
+    found = Counter(r["doc_id"] for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id string, text string"))).collect() if r["n_entropy"])
+    low = {f"{kind} {n}": found[f"{kind} {n}"] for kind in kinds for n in (20, 32, 40) if found[f"{kind} {n}"] < 180}
+    assert not low and found["words"] <= 2

@@ -3,7 +3,8 @@
 Three patterns give the base spans. Beside them, candidate strings are read by a sliding window; its
 Shannon entropy follows from the sum of c * log2(c) over the counts c in the window, and a step of the
 window changes that sum only for the character that leaves and the one that enters. A candidate whose
-windows reach the threshold of its character class is a span, unless the allow-list names it or a base
+windows reach the threshold of its character class is a span (runs of letters and base 32 whose letter pairs
+are not those of words have lower thresholds of their own), unless the allow-list names it or a base
 span covers part of it.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive.
@@ -26,6 +27,14 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: A candidate for the entropy scan: a whole run of at least this many characters.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 
+#: First letter: letters that often follow it within words of Latin script. Random letters have about a third of such pairs, words most.
+FOLLOWS = {
+    "a": "bcdgilmnprstuvy", "b": "aeiloru", "c": "aehikloqrtu", "d": "aeiorsu", "e": "acdefgilmnprstuvwx", "f": "aefiortu", "g": "aehiloru",
+    "h": "aeinorut", "i": "abcdefglmnoprstvz", "j": "aeou", "k": "aeino", "l": "adefilostuy", "m": "abeimopsu", "n": "acdefgiknostu",
+    "o": "bcdfgilmnoprstuvw", "p": "aehiloprstu", "q": "u", "r": "acdegiklmnorstuy", "s": "acehiklmopstu", "t": "aehiorstuz", "u": "abcdeglmnprst",
+    "v": "aeio", "w": "aehio", "x": "ept", "y": "eos", "z": "aeiu"}
+COMMON_PAIR = "(?i)(?=" + "|".join(f"{a}[{b}]" for a, b in FOLLOWS.items()) + ")"
+
 
 @dataclass(frozen=True)
 class EntropyRule:
@@ -38,6 +47,13 @@ class EntropyRule:
         ("letters", r"^[A-Za-z]+$", 4.05),
         ("mixed", r"[A-Za-z]", 3.65),
     )
+    #: The same for runs of which no more than `pairs` of all pairs are common within words: what glued words are told apart by.
+    unlike_words: tuple[tuple[str, str, float], ...] = (
+        ("one case", r"^(?:[A-Z]+|[a-z]+)$", 3.2),
+        ("two cases", r"^[A-Za-z]+$", 3.6),
+        ("base 32", r"^(?:[A-Z2-7]+|[a-z2-7]+)$", 3.35),
+    )
+    pairs: float = 0.6
     #: Candidates that are no secrets: numbers, words joined by signs, identifiers in 8-4-4-4-12 form, stand-ins.
     allowed: tuple[str, ...] = (
         r"^[0-9_+/=-]+$",
@@ -133,10 +149,15 @@ def _highest_in(candidate: Column, window: int) -> Column:
 
 
 def _suspicious(candidate: Column, rule: EntropyRule) -> Column:
-    threshold = None
-    for _, pattern, bits in rule.classes:
-        fits = candidate.rlike(pattern)
-        threshold = F.when(fits, bits) if threshold is None else threshold.when(fits, bits)
+    def least(classes: tuple[tuple[str, str, float], ...]) -> Column:
+        bits = F.lit(None).cast("double")
+        for _, pattern, at_least in reversed(classes):
+            bits = F.when(candidate.rlike(pattern), at_least).otherwise(bits)
+        return bits
+
+    unlike = F.regexp_count(candidate, F.lit(COMMON_PAIR)) <= rule.pairs * (F.length(candidate) - 1)
+    usual = least(rule.classes)
+    threshold = F.least(usual, F.when(least(rule.unlike_words).isNotNull() & unlike, least(rule.unlike_words)))
     allowed = F.lit(False)
     for pattern in rule.allowed:
         allowed = allowed | candidate.rlike(pattern)
