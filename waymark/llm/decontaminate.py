@@ -1,8 +1,8 @@
-"""Benchmark items inside documents, by size-partitioned MinHash containment search.
+"""Benchmark items inside documents, by MinHash containment search with an exact prefix index.
 
 An item is contained where a document holds at least `share` of the item's different shingles; the length of the
-document doesn't matter. Items are partitioned by their number of shingles, by powers of two. In a partition whose
-items have n shingles each, an item has a bottom-k MinHash signature: its shingles with the k smallest hashes, where
+document doesn't matter. One index holds items of all sizes; partitions by size aren't searched one by one. An item
+of n shingles has a bottom-k MinHash signature: its shingles with the k smallest hashes, where
 k = n - ceil(share * n) + 1. A document that lacks all k of them lacks too many, so every container shares a signature
 hash with its item, and no such pair is lost. Pairs that share one are verified by counting the shingles they share,
 as strings.
