@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, licences, mixing, neighbours, quality, secrets, simhash, substrings, tokens, toxicity
+from waymark.llm import chat, decontaminate, licences, mixing, negatives, neighbours, prefixes, quality, secrets, simhash, substrings, tokens, toxicity
 from waymark.llm.common import crc_of_id, table
 
 QUERIES = {}
@@ -112,3 +112,34 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+ORACLE["op11_negatives"] = negatives.mined_sql("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+# A conversation whose texts are made of control strings.
+HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hostile = spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string")
+    return chat.read_back(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile))
+
+
+ORACLE["op12_chat"] = chat.read_back_sql("VALUES " + ", ".join(str(row) for row in HOSTILE))
+
+
+@query
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefixes.trie(prefixes.rebuilt(prefixes.paths_of(table(spark, sf_dir, "conversations")), base, shared, 5))
+
+
+ORACLE["op13_prefixes"] = prefixes.trie_sql()
