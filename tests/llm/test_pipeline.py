@@ -49,11 +49,23 @@ def test_stages(spark, folder):
 
 def test_run_and_registration(spark, folder):
     assert contract.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in contract.queries() if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in contract.queries() if name.startswith("op") and name[2].isdigit()}
     first = corpus_pipeline.run(spark, folder)
     assert sorted((r["doc_id"] or -1, r["taken"]) for r in first.collect()) == sorted((r["doc_id"] or -1, r["taken"]) for r in corpus_pipeline.run(spark, folder).collect())
 
 
+def test_clashing_columns_stay_as_they_are(spark, folder):
+    names = ["_score", "score", "_spans", "spans", "base_spans", "_base_spans", "_size", "_key", "_bin", "_tie", "_row", "_source", "_print", "row"]
+    plain = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = plain.selectExpr("*", *[f"concat('{n} of ', doc_id) AS {n}" for n in names])
+    without = plain
+    for name, stage in corpus_pipeline.STAGES:
+        docs, without = stage(spark, docs, folder).cache(), stage(spark, without, folder).cache()
+        kept = [r.asDict() for r in docs.collect()]
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n} of {r['doc_id']}") for r in kept for n in names)
+        assert Counter(tuple(r[c] for c in without.columns) for r in kept) == Counter(tuple(r) for r in without.collect())
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

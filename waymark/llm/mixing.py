@@ -134,12 +134,16 @@ def mix(docs: DataFrame, rules: MixRules = MixRules(), weight: Column | None = N
 
 
 def mixture(docs: DataFrame, rules: MixRules = MixRules(), weight: Column | None = None) -> DataFrame:
-    """The rows of `docs` of which the mix takes words, with size, source_size, target and taken. The texts aren't shuffled."""
+    """The rows of `docs` of which the mix takes words, with size, source_size, target and taken. The texts aren't shuffled.
+
+    These four take the place of columns that have the same names; all others stay as they are.
+    """
     added = {"size": "_size", "source_size": "source_size", "target": "target", "taken": "taken"}
     own = docs.drop(*added)
     slim = Written(_measured(own.select("doc_id", "source", "text"), rules, weight).drop("text")).df
-    out = _taken(_measured(own, rules, weight), _plan(slim, rules)).filter("taken > 0")
-    return out.select(*own.columns, *[F.col(c).alias(name) for name, c in added.items()])
+    packed = own.select(F.struct(*own.columns).alias("_row"), "doc_id", "source", "text")
+    out = _taken(_measured(packed, rules, weight), _plan(slim, rules)).filter("taken > 0")
+    return out.select("_row.*", *[F.col(c).alias(name) for name, c in added.items()])
 
 
 def mix_sql(rules: MixRules = MixRules()) -> str:

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import unused
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that are too short are dropped, so the shortest lengths can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -197,8 +199,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rules: SecretRules = SecretRules(), mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span of `text` replaced by `mark`; `n_chars`, where there is one, follows the new text. Null texts stay null."""
-    marked = with_spans(docs, rules=rules, base="_base_spans", found="_spans")
+    """`docs` with every span of `text` replaced by `mark`; `n_chars`, where there is one, follows the new text. Null texts stay null.
+
+    All other columns stay as they are, whatever their names.
+    """
+    found = unused(docs, "spans")
+    marked = with_spans(docs, rules=rules, base=unused(docs, "base_spans"), found=found)
 
     def step(state: Column, s: Column) -> Column:
         """Spans may overlap; each starts no earlier than the one before."""
@@ -209,9 +215,9 @@ def redacted(docs: DataFrame, rules: SecretRules = SecretRules(), mark: str = "[
             F.when(fresh, F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("_spans", zero, step, lambda s: F.concat(
+    cut = F.aggregate(found, zero, step, lambda s: F.concat(
         F.array_join(s["out"], ""), F.col("text").substr((s["at"] + 1).cast("int"), F.length("text"))))
-    hit = F.size("_spans") > 0
+    hit = F.size(found) > 0
     out = marked.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
