@@ -160,12 +160,12 @@ def test_radius_join_equals_brute_force(spark, salt):
     assert got == {(p, q) for p in set(a) for q in set(b) if near(p, q, 0.02)}
 
 
-@pytest.mark.parametrize("block_size", [256, 3])
-def test_aggregates_over_blocks_equal_brute_force(spark, block_size):
+@pytest.mark.parametrize("block_size, tree_rows", [(256, 256), (3, 256), (3, 4)])
+def test_aggregates_over_blocks_equal_brute_force(spark, block_size, tree_rows):
     points = sorted(set(scattered(10, 120, 0.05)))
     df = spark.createDataFrame([(*p, i % 4, i) for i, p in enumerate(points)], "lat double, lon double, w int, v int")
     got = {(r["lat"], r["lon"]): r["s"] for r in
-           radius.radius_aggregate(df, df, 0.02, "v", "s", block_size=block_size).collect()}
+           radius.radius_aggregate(df, df, 0.02, "v", "s", block_size=block_size, tree_rows=tree_rows, leaf_rows=4).collect()}
     assert got == {p: sum(i for i, q in enumerate(points) if near(p, q, 0.02)) for p in points}
     grouped = df.withColumn("g", F.lit("g"))
     total = radius.pair_distance_sum(grouped, ["g"], "w", block_size=block_size).collect()[0]["distance_sum"]

@@ -111,13 +111,13 @@ def test_classifier_round_trip(spark, prepared, tmp_path):
         classify.classifier("other")
 
 
-@pytest.mark.parametrize("block_size", [256, 4])
-def test_nearest_points_in_plain_and_crowded_groups(spark, block_size):
+@pytest.mark.parametrize("limits", [{}, {"plain_rows": 4}, {"plain_rows": 4, "tree_rows": 8, "leaf_rows": 3}])
+def test_nearest_points_in_plain_and_crowded_groups(spark, limits):
     rnd = random.Random(2)
     points = [("a", rnd.uniform(0, 1), rnd.uniform(0, 1), i) for i in range(30)] + [("b", 0.0, 0.0, 1), ("b", 0.5, 0.5, 2)]
     df = spark.createDataFrame(points, "customer_id string, lat double, lon double, visits int")
     got = defaultdict(list)
-    for r in ranking.nearest_points_k(df, df, 5, keep=["visits"], block_size=block_size).sort("rank").collect():
+    for r in ranking.nearest_points_k(df, df, 5, keep=["visits"], **limits).sort("rank").collect():
         got[(r["customer_id"], r["lat"], r["lon"])].append((r["near_lat"], r["near_lon"], r["visits"]))
     for c, x, y, _ in points:
         order = sorted(((p[1] - x) ** 2 + (p[2] - y) ** 2, p[1], p[2], p[3]) for p in points if p[0] == c)

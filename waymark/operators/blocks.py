@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_SIZE = 1024
+#: Rows of a group up to which all its blocks meet; larger ones become trees of cells (see celltree).
+TREE_ROWS = 8 * BLOCK_SIZE
 
 
 def split_crowded(df: DataFrame, keys: Sequence[str], size: int = BLOCK_SIZE) -> tuple[DataFrame, DataFrame | None]:

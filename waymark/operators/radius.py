@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import geo
-from waymark.operators.blocks import BLOCK_SIZE, fields, meet, split_crowded
+from waymark.materialize import cut_lineage
+from waymark.operators import celltree
+from waymark.operators.blocks import BLOCK_SIZE, TREE_ROWS, fields, meet, split_crowded
 
 # Executors need not have this package: the functions below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -59,13 +61,15 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, *, left_on=("l
 
 
 def radius_aggregate(points: DataFrame, others: DataFrame, radius: float, value: str, name: str, *,
-                     by: Sequence[str] = (), group: Sequence[str] = (), block_size: int = BLOCK_SIZE) -> DataFrame:
+                     by: Sequence[str] = (), group: Sequence[str] = (), block_size: int = BLOCK_SIZE,
+                     tree_rows: int = TREE_ROWS, leaf_rows: int = celltree.LEAF_ROWS) -> DataFrame:
     """For every point the sum of `value` over the others within `radius`, per `group`.
 
     Both tables have `lat` and `lon`; `points` should be distinct in (`by`, lat, lon). The result
     has (`by`, lat, lon, `group`, `name`) and only rows with at least one other point in reach.
-    Pairs are summed in the task that finds them; crowded cells arrive as blocks, so a point
-    meets few rows however dense its surroundings are.
+    Pairs are summed in the task that finds them. Crowded cells of the grid arrive as blocks. Those beyond `tree_rows`
+    become trees of smaller cells: a cell wholly within the radius of a cell of points adds its sums as they are, and
+    only leaves that the circle's border may cross meet point by point.
     """
     keys = [*by, "_cx", "_cy"]
     whole = dict(others.dtypes)[value] in ("int", "bigint", "smallint", "tinyint")
@@ -81,14 +85,42 @@ def radius_aggregate(points: DataFrame, others: DataFrame, radius: float, value:
     single = pairs.select(*by, "lat", "lon", *group, F.col("_value").alias("_sum"))
 
     if crowded is not None:
-        out = [*by, "lat", "lon", *group]
+        blocks, hot = split_crowded(crowded.drop("_n_blocks"), keys, tree_rows)
+        asking = probe.select(*keys, "lat", "lon")
         schema = T.StructType([*fields(probe, *by, "lat", "lon"), *fields(placed, *group, "_value")])
-        met = meet(probe.select(*keys, "lat", "lon"), crowded.drop("_n_blocks").fillna(0, ["_value"]), keys, block_size,
+        met = meet(asking, blocks.fillna(0, ["_value"]), keys, block_size,
                    lambda p, o: sums_within(p, o, [*by, "lat", "lon"], list(group), radius), schema)
-        single = single.unionByName(met.select(*out, F.col("_value").alias("_sum")))
+        single = single.unionByName(met.select(*by, "lat", "lon", *group, F.col("_value").alias("_sum")))
+        if hot is not None:
+            single = single.unionByName(_tree_sums(asking, hot.drop("_n_blocks"), keys, list(by), list(group), radius, leaf_rows))
     return single.groupBy(*by, "lat", "lon", *group).agg(F.sum("_sum").alias(name))
 
 
+def _tree_sums(probe: DataFrame, others: DataFrame, keys: list[str], by: list[str], group: list[str], radius: float, leaf_rows: int) -> DataFrame:
+    """(by, lat, lon, group, _sum) of the probing points in very crowded cells, in parts that are summed by the caller."""
+    # One row for each place and group, with the sum of its rows.
+    others = cut_lineage(others.fillna(0, ["_value"]).groupBy(*keys, *group, "o_lat", "o_lon").agg(F.sum("_value").alias("_value")))
+    probe = cut_lineage(probe.join(others.select(*keys).distinct(), keys, "left_semi"))
+    tree = celltree.build(celltree.two_sides(probe, others.withColumnsRenamed({"o_lat": "lat", "o_lon": "lon"}), keys), keys, leaf_rows)
+    leaves, covered = celltree.descend(tree, keys, celltree.within(radius))
+    asking = cut_lineage(probe.join(tree.located, [*keys, "lat", "lon"]).select(*by, "lat", "lon", F.col("leaf").alias("_a")))
+    spot = tree.located.select(*keys, F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("leaf").alias("_p"))
+    held = cut_lineage(others.join(spot, [*keys, "o_lat", "o_lon"]).select("_p", *group, "o_lat", "o_lon", "_value"))
+    total = F.sum("_value").alias("_value")
+    # Covered cells: sums of leaves make sums of cells, which are added up for each leaf of probing points.
+    leaf_sums = held.groupBy("_p", *group).agg(total)
+    cell_sums = leaf_sums.join(tree.above.withColumnsRenamed({"leaf": "_p", "cell": "_cell"}), "_p").groupBy(F.col("_cell").alias("_p"), *group).agg(total)
+    inside = covered.join(cell_sums, "_p").groupBy("_a", *group).agg(total)
+    by_leaf = inside.join(tree.above.withColumnRenamed("cell", "_a"), "_a").groupBy(F.col("leaf").alias("_a"), *group).agg(total)
+    out = [*by, "lat", "lon", *group, F.col("_value").alias("_sum")]
+    whole = asking.join(by_leaf, "_a").select(*out)
+    # Leaves on the border.
+    border = leaves.join(held, "_p").select("_a", *group, "o_lat", "o_lon", "_value")
+    schema = T.StructType([*fields(asking, *by, "lat", "lon"), *fields(held, *group, "_value")])
+    crossed = meet(asking, border, ["_a"], BLOCK_SIZE, lambda p, o: sums_within(p, o, [*by, "lat", "lon"], group, radius), schema)
+    return whole.unionByName(crossed.select(*out))
+
+
 def sums_within(points: pd.DataFrame, others: pd.DataFrame, columns: list[str], group: list[str], radius: float) -> pd.DataFrame:
     """Summed `_value` of the others within `radius` of each point, per `group`, where there are any."""
     if points.empty or others.empty:

@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import geo
-from waymark.operators.blocks import BLOCK_SIZE, fields, meet, split_crowded
+from waymark.materialize import cut_lineage
+from waymark.operators import celltree
+from waymark.operators.blocks import BLOCK_SIZE, TREE_ROWS, fields, meet, split_crowded
 from waymark.sources.lines import add_row_id
 
 # Executors need not have this package: the functions below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Points of a group that are held as one array.
+PLAIN_ROWS = 128
+
 
 def best_point_per_customer(scored: DataFrame, score: str = "score", keep: Sequence[str] = ()) -> DataFrame:
     """The point with the highest score of each customer, smaller latitude and longitude first on ties."""
@@ -42,26 +47,56 @@ def visit_counts(tx: DataFrame, by: Sequence[str] = ("customer_id",)) -> DataFra
 
 
 def nearest_points_k(anchors: DataFrame, points: DataFrame, k: int = 5, by: Sequence[str] = ("customer_id",),
-                     keep: Sequence[str] = (), block_size: int = BLOCK_SIZE) -> DataFrame:
+                     keep: Sequence[str] = (), plain_rows: int = PLAIN_ROWS, tree_rows: int = TREE_ROWS,
+                     leaf_rows: int = celltree.LEAF_ROWS) -> DataFrame:
     """For each anchor its k nearest distinct points in the same group, itself included.
 
-    Result: `by`, lat, lon of the anchor, rank, near_lat, near_lon, d2 and `keep` of the near point. In groups above
-    `block_size` points each pair of blocks gives its own k nearest, and the last ranking merges them.
+    Result: `by`, lat, lon of the anchor, rank, near_lat, near_lon, d2 and `keep` of the near point. A group of up to `plain_rows`
+    points is one array, sorted for each anchor. In larger ones each pair of blocks gives its own k nearest, and a last ranking
+    merges them. Groups beyond `tree_rows` become trees of cells first: cells that hold k points bound the kth distance, and a
+    leaf of anchors meets the leaves within that bound only.
     """
     by = list(by)
+    # Points and anchors each are distinct.
     near = points.select(*by, F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), *keep)
-    plain, crowded = split_crowded(near, by, block_size)
-    d2 = geo.squared_distance(F.col("lat"), F.col("lon"), F.col("near_lat"), F.col("near_lon"))
-    names = ["d2", "near_lat", "near_lon", *keep]
-    found = anchors.select(*by, "lat", "lon").join(plain, by).select(*by, "lat", "lon", d2.alias("d2"), *names[1:])
-    if crowded is not None:
-        left = anchors.select(*by, "lat", "lon")
-        schema = T.StructType([*fields(left, *by, "lat", "lon"), T.StructField("d2", T.DoubleType()), *fields(near, "near_lat", "near_lon", *keep)])
-        found = found.unionByName(meet(left, crowded.drop("_n_blocks"), by, block_size, lambda p, q: nearest_in(p, q, k, list(schema.names)), schema))
+    asking = anchors.select(*by, "lat", "lon")
+    plain, crowded = split_crowded(near, by, plain_rows)
+    arrays = plain.groupBy(*by).agg(F.collect_list(F.struct("near_lat", "near_lon", *keep)).alias("_all"))
+    measured = F.transform("_all", lambda p: F.struct(
+        geo.squared_distance(F.col("lat"), F.col("lon"), p["near_lat"], p["near_lon"]).alias("d2"), p["near_lat"].alias("near_lat"), p["near_lon"].alias("near_lon"),
+        p.alias("_near")))
+    ordered = F.slice(F.array_sort(measured), 1, k)
+    found = asking.join(arrays, by).select(*by, "lat", "lon", F.posexplode(ordered).alias("_place", "_found")).select(
+        *by, "lat", "lon", "_found.d2", "_found.near_lat", "_found.near_lon", *[F.col(f"_found._near.{c}").alias(c) for c in keep], (F.col("_place") + 1).alias("rank"))
+    if crowded is None:
+        return found
+    blocks, hot = split_crowded(crowded.drop("_n_blocks"), by, tree_rows)
+    found = found.unionByName(_nearest_over_blocks(asking, blocks, k, by, by, list(keep)))
+    if hot is None:
+        return found
+    left, right = _leaves_within_reach(asking, hot.drop("_n_blocks"), k, by, leaf_rows)
+    return found.unionByName(_nearest_over_blocks(left, right, k, by, ["_leaf"], list(keep)))
+
+
+def _nearest_over_blocks(asking: DataFrame, near: DataFrame, k: int, by: list[str], keys: list[str], keep: list[str]) -> DataFrame:
+    """The k nearest of all points with the same `keys`, ranked, by blocks of bounded size."""
+    schema = T.StructType([*fields(asking, *by, "lat", "lon"), T.StructField("d2", T.DoubleType()), *fields(near, "near_lat", "near_lon", *keep)])
+    found = meet(asking, near, keys, BLOCK_SIZE, lambda p, q: nearest_in(p, q, k, list(schema.names)), schema)
     order = Window.partitionBy(*by, "lat", "lon").orderBy("d2", "near_lat", "near_lon")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _leaves_within_reach(asking: DataFrame, near: DataFrame, k: int, by: list[str], leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors with the leaf that holds them, and for each leaf the points that may be among the k nearest of its anchors."""
+    near = cut_lineage(near)
+    asking = asking.join(near.select(*by).distinct(), by, "left_semi").distinct()
+    tree = celltree.build(celltree.two_sides(asking, near.withColumnsRenamed({"near_lat": "lat", "near_lon": "lon"}), by), by, leaf_rows)
+    leaves, _ = celltree.descend(tree, by, celltree.keep_nearest(k))
+    spot = tree.located.select(*by, F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), F.col("leaf").alias("_p"))
+    left = asking.join(tree.located, [*by, "lat", "lon"]).select(*by, "lat", "lon", F.col("leaf").alias("_leaf"))
+    return left, leaves.join(near.join(spot, [*by, "near_lat", "near_lon"]).drop(*by), "_p").drop("_p").withColumnRenamed("_a", "_leaf")
+
+
 def nearest_in(anchors: pd.DataFrame, points: pd.DataFrame, k: int, columns: list[str]) -> pd.DataFrame:
     """The k nearest of a block of points for each of a block of anchors, by distance, latitude, longitude."""
     if anchors.empty or points.empty:
