@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, mixing, secrets, simhash, toxicity
-from waymark.llm.common import crc_of_id, table
+from waymark.llm.common import crc_of_id, table, unused
 from waymark.materialize import Written
 
-#: Sets of five words with a Jaccard similarity of at least 0.8. Fingerprints over 28 bits apart are not compared (see the README).
-NEAR_DUPLICATES = simhash.SimHashRules(width=5, radius=28, bands=(12, 2), similarity=0.8)
+#: Shingles of three words, fingerprints at most two bits apart, as in the operator's query.
+NEAR_DUPLICATES = simhash.SimHashRules(width=3, radius=2)
 TOXIC = toxicity.ToxicRules()
 
 
@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. Labels of ids whose crc32 leaves 2 modulo 4 are held out, as in the operator's query."""
     labels = table(spark, sf_dir, "labels").filter(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) != 2)
     model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")), TOXIC)
-    return toxicity.scored(docs, model, "_score").filter(F.col("_score") < TOXIC.threshold).select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.scored(docs, model, score).filter(F.col(score) < TOXIC.threshold).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
