@@ -112,3 +112,24 @@ def test_work_grows_with_points_not_pairs(spark):
     # Eight thousand meet as blocks, all with all; sixteen thousand in a tree.
     seconds(9_000)
     assert seconds(16_000) <= 2.5 * seconds(8_000)
+
+
+def test_hot_cells_of_a_join_are_cut(spark):
+    """A third of the rows in one cell, another third in a clump narrower than any cell."""
+    rng = random.Random(9)
+    spread = {(rng.uniform(0, 2), rng.uniform(0, 2)) for _ in range(1000)}
+    clump = {(9 + rng.uniform(0, 1e-7), 9 + rng.uniform(0, 1e-7)) for _ in range(1000)}
+    rest = {(rng.uniform(-40, 40), rng.uniform(-40, 40)) for _ in range(1000)}
+    rows = sorted(spread | clump | rest)
+    right = spark.createDataFrame([("x", *p) for p in rows], "g string, r_lat double, r_lon double")
+    asked = rows[::40]
+    left = spark.createDataFrame([("x", *p) for p in asked] + [("y", 1.0, 1.0)], "g string, lat double, lon double")
+    got = radius.radius_join(left, right, 1.0, by=["g"], hot_rows=50).collect()
+    want = {(p, q) for p in asked for q in rows if d2((0, *p), (0, *q)) <= 1.0}
+    assert {((r["lat"], r["lon"]), (r["r_lat"], r["r_lon"])) for r in got} == want and len(got) == len(want)
+    # Rows of a key: no more than a few times the limit, however they lie.
+    probe, placed = radius._probe(left, "lat", "lon", 1.0), radius._placed(right, "r_lat", "r_lon", 1.0)
+    _, cut, keys = radius._cut_cells(probe, placed, ("lat", "r_lat"), ("lon", "r_lon"), 1.0, ["g"], 50)
+    sizes = [r["count"] for r in cut.groupBy(*keys).count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 110
+    assert max(r["count"] for r in placed.groupBy("g", "_cx", "_cy").count().collect()) >= 1000

@@ -151,12 +151,12 @@ def test_tile_rows_over_several_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("salt", [1, 4])
-def test_radius_join_equals_brute_force(spark, salt):
+@pytest.mark.parametrize("hot_rows", [4096, 5])
+def test_radius_join_equals_brute_force(spark, hot_rows):
     a, b = scattered(8, 150, 0.1, 0.007), scattered(9, 150, 0.1)
     left = spark.createDataFrame(sorted(set(a)), "lat double, lon double")
     right = spark.createDataFrame(sorted(set(b)), "r_lat double, r_lon double")
-    got = {((r["lat"], r["lon"]), (r["r_lat"], r["r_lon"])) for r in radius.radius_join(left, right, 0.02, salt=salt).collect()}
+    got = {((r["lat"], r["lon"]), (r["r_lat"], r["r_lon"])) for r in radius.radius_join(left, right, 0.02, hot_rows=hot_rows).collect()}
     assert got == {(p, q) for p in set(a) for q in set(b) if near(p, q, 0.02)}
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,9 @@ from waymark.operators.blocks import BLOCK_SIZE, TREE_ROWS, fields, meet, split_
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_RADII = 2
+#: Rows of a cell from which a join cuts it, and how often it's halved at most: a circle meets 9 x 9 of the smallest cells or so.
+HOT_ROWS = 4096
+MOST_LEVELS = 3
 
 
 def _probe(df: DataFrame, lat: str, lon: str, radius: float) -> DataFrame:
@@ -41,23 +44,58 @@ def _placed(df: DataFrame, lat: str, lon: str, radius: float) -> DataFrame:
     return df.withColumn("_cx", F.floor(F.col(lat) / size)).withColumn("_cy", F.floor(F.col(lon) / size))
 
 
+def _cut_cells(probe: DataFrame, placed: DataFrame, lat: tuple[str, str], lon: tuple[str, str], radius: float, by: list[str],
+               hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys of a join whose cells hold about `hot_rows` rows of `placed` at most.
+
+    A hot cell is cut into 4 ** level smaller ones, and only points near it probe at that level: those that the circle may
+    meet. What still is hot then, a clump of points narrower than a cell, is dealt out by hash. The cells listed are counted,
+    and broadcast where they are few.
+    """
+    size = radius * CELL_RADII
+    keys = [*by, "_cx", "_cy"]
+    rows = F.col("count") / hot_rows
+    hot = cut_lineage(placed.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(
+        *keys, F.least(F.ceil(F.log2(rows) / 2), F.lit(MOST_LEVELS)).cast("int").alias("_level")))
+    if hot.isEmpty():
+        return probe, placed, keys
+    hot, cut = celltree.counted(hot), [*by, "_level", "_cx", "_cy"]
+    level = F.coalesce("_level", F.lit(0))
+    parts = F.expr("shiftleft(1L, coalesce(_level, 0))")
+    width = F.lit(size) / parts
+
+    def within_cell(at: str, cell: str) -> Column:
+        """Indexes of the smaller cells of a cell that the circle may meet. Halving a width is exact, so none is lost to rounding."""
+        reach = radius * (1 + geo.SLACK)
+        low, high = F.col(cell) * parts, (F.col(cell) + 1) * parts - 1
+        return F.sequence(F.greatest(low, F.floor((F.col(at) - reach) / width)), F.least(high, F.floor((F.col(at) + reach) / width)))
+
+    placed = placed.join(hot, keys, "left").withColumns(
+        {"_level": level, "_cx": F.floor(F.col(lat[1]) / width), "_cy": F.floor(F.col(lon[1]) / width)})
+    probe = (
+        probe.join(hot, keys, "left").withColumns({"_xs": within_cell(lat[0], "_cx"), "_ys": within_cell(lon[0], "_cy"), "_level": level})
+        .withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
+    )
+    shares = cut_lineage(placed.filter("_level > 0").groupBy(*cut).count().filter(F.col("count") > 2 * hot_rows).select(
+        *cut, F.ceil(rows).cast("int").alias("_shares")))
+    shares = celltree.counted(shares)
+    n = F.coalesce("_shares", F.lit(1))
+    placed = placed.join(shares, cut, "left").withColumn("_share", F.pmod(F.xxhash64(lat[1], lon[1]), n).cast("int")).drop("_shares")
+    probe = probe.join(shares, cut, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), n - 1))).drop("_shares")
+    return probe, placed, [*cut, "_share"]
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, *, left_on=("lat", "lon"),
-                right_on=("r_lat", "r_lon"), by: Sequence[str] = (), salt: int = 1) -> DataFrame:
+                right_on=("r_lat", "r_lon"), by: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """All pairs within `radius`, also equal in the `by` columns; the left side is expanded.
 
-    Give distinct points where rows repeat: the result is one row per pair. With `salt` > 1 each cell
-    of the right side is split into that many join keys and the left side repeated for
-    them, for data where single cells are known to be hot; AQE splits them otherwise.
+    Give distinct points where rows repeat: the result is one row per pair. Cells with more than `hot_rows` rows of
+    the right side are cut.
     """
-    probe = _probe(left, *left_on, radius)
-    placed = _placed(right, *right_on, radius)
-    keys = [*by, "_cx", "_cy"]
-    if salt > 1:
-        probe = probe.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*right_on), F.lit(salt)).cast("int"))
-        keys.append("_salt")
+    lat, lon = zip(left_on, right_on)
+    probe, placed, keys = _cut_cells(_probe(left, *left_on, radius), _placed(right, *right_on, radius), lat, lon, radius, list(by), hot_rows)
     near = geo.within_radius(F.col(left_on[0]), F.col(left_on[1]), F.col(right_on[0]), F.col(right_on[1]), radius)
-    return probe.join(placed, keys).filter(near).drop("_cx", "_cy", "_salt")
+    return probe.join(placed, keys).filter(near).drop("_cx", "_cy", "_level", "_share")
 
 
 def radius_aggregate(points: DataFrame, others: DataFrame, radius: float, value: str, name: str, *,
