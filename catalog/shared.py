@@ -22,12 +22,12 @@ def _sides(spark, sf_dir):
     return train, family.filter("not is_train").select("customer_id", "lat", "lon")
 
 
-def _blocks(t: str, lat: str, lon: str) -> None:
+def _blocks(t: str, lat: str, lon: str, family: str = "family", share: str = "shared = own") -> None:
     """Checking SQL for one target: characteristic points, the best match per test customer, the matches that count."""
     place = "p_lat, p_lon"
     views.BLOCKS.update({
         f"{t}_known": (f"""SELECT lat AS p_lat, lon AS p_lon, customer_id, min({lat}) AS lat, min({lon}) AS lon
-FROM family WHERE is_train AND {lat} > 0 GROUP BY 1, 2, 3""", ["family"]),
+FROM {family} WHERE is_train AND {lat} > 0 GROUP BY 1, 2, 3""", [family]),
         f"{t}_sizes": (f"SELECT {place}, count(*) AS n FROM {t}_known GROUP BY {place}", [f"{t}_known"]),
         f"{t}_near": (f"""SELECT a.p_lat, a.p_lon, a.customer_id, a.lat, a.lon, b.customer_id AS other, b.lat AS o_lat, b.lon AS o_lon
 FROM {t}_known a JOIN {t}_known b ON a.p_lat = b.p_lat AND a.p_lon = b.p_lon AND {near('a.lat', 'a.lon', 'b.lat', 'b.lon', R)}""", [f"{t}_known"]),
@@ -50,12 +50,12 @@ FROM {t}_known k JOIN {t}_label l USING (p_lat, p_lon, customer_id) JOIN {t}_lar
         f"{t}_match": (f"""SELECT customer_id, train_customer_id, shared, target_lat, target_lon FROM
 (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY shared DESC, train_customer_id) AS place FROM
 (SELECT v.customer_id, c.customer_id AS train_customer_id, count(*) AS shared FROM
-(SELECT DISTINCT customer_id, lat, lon FROM family WHERE NOT is_train AND lat > 0) v JOIN {t}_characteristic c USING (lat, lon) GROUP BY 1, 2))
+(SELECT DISTINCT customer_id, lat, lon FROM {family} WHERE NOT is_train AND lat > 0) v JOIN {t}_characteristic c USING (lat, lon) GROUP BY 1, 2))
 JOIN (SELECT customer_id AS train_customer_id, count(*) AS own, min(target_lat) AS target_lat, min(target_lon) AS target_lon
-FROM {t}_characteristic GROUP BY 1) USING (train_customer_id) WHERE place = 1 AND shared = own AND shared >= 4""", [f"{t}_characteristic", "family"]),
-        # In this data one round resolves all that can be: every family has a single test customer.
-        f"{t}_final": (f"""SELECT customer_id, min({lat}) AS target_lat, min({lon}) AS target_lon FROM family WHERE is_train GROUP BY customer_id
-UNION ALL SELECT customer_id, target_lat, target_lon FROM {t}_match""", ["family", f"{t}_match"]),
+FROM {t}_characteristic GROUP BY 1) USING (train_customer_id) WHERE place = 1 AND {share} AND shared >= 4""", [f"{t}_characteristic", family]),
+        # One round: every family has a single test customer. Chains have more, see below.
+        f"{t}_final": (f"""SELECT customer_id, min({lat}) AS target_lat, min({lon}) AS target_lon FROM {family} WHERE is_train GROUP BY customer_id
+UNION ALL SELECT customer_id, target_lat, target_lon FROM {t}_match""", [family, f"{t}_match"]),
     })
 
 
@@ -90,3 +90,19 @@ def propagate_targets(spark, sf_dir):
 FROM home_final h FULL JOIN work_final w USING (customer_id)""", "home_final", "work_final"))
 def characteristic_home_work(spark, sf_dir):
     return propagate.characteristic_home_work(*_sides(spark, sf_dir))
+
+
+# Rounds of a chain: each has the table of the round before, with those it resolved as known. Four resolve someone; the fifth finds none.
+ROUNDS = 5
+for _i in range(ROUNDS):
+    _source = f"chain_{_i}" if _i else "chain"
+    _blocks(f"round_{_i}", "home_lat", "home_lon", _source, "2 * shared >= own")
+    views.BLOCKS[f"chain_{_i + 1}"] = (f"""SELECT c.customer_id, c.is_train OR m.customer_id IS NOT NULL AS is_train, lat, lon,
+coalesce(home_lat, target_lat) AS home_lat, coalesce(home_lon, target_lon) AS home_lon FROM {_source} c LEFT JOIN round_{_i}_match m ON m.customer_id = c.customer_id""",
+                                        [_source, f"round_{_i}_match"])
+
+
+@query(sql(f"""SELECT customer_id, min(home_lat) AS target_lat, min(home_lon) AS target_lon FROM chain_{ROUNDS} WHERE is_train GROUP BY customer_id""", f"chain_{ROUNDS}"))
+def propagate_targets_rounds(spark, sf_dir):
+    chain = views.chain(spark, sf_dir)
+    return propagate.propagate_targets(chain.filter("is_train"), chain.filter("not is_train").select("customer_id", "lat", "lon"), "home", share=0.5)

@@ -53,6 +53,20 @@ SELECT o_custkey AS customer_id, o_custkey % 3 < 2 AS is_train,
 FROM orders
 """
 
+# Chains of five customers: the first is known, each shares four places with the one before, and all visit one place.
+CHAIN = """
+SELECT c_custkey AS customer_id, c_custkey % 5 = 0 AS is_train,
+  CAST(55.0 AS DOUBLE) + CAST((c_custkey - c_custkey % 5) % 3000 AS DOUBLE) * CAST(0.05 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) * CAST(0.001 AS DOUBLE) AS lat,
+  CAST(37.0 AS DOUBLE) + CAST(c_custkey - c_custkey % 3000 AS DOUBLE) * CAST(0.001 AS DOUBLE) AS lon,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(55.0013 AS DOUBLE) + CAST((c_custkey - c_custkey % 5) % 3000 AS DOUBLE) * CAST(0.05 AS DOUBLE) END AS home_lat,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(37.0017 AS DOUBLE) + CAST(c_custkey - c_custkey % 3000 AS DOUBLE) * CAST(0.001 AS DOUBLE) END AS home_lon
+FROM customer JOIN nation ON n_nationkey BETWEEN c_custkey % 5 * 4 - 4 AND c_custkey % 5 * 4 + 3
+UNION ALL SELECT c_custkey, c_custkey % 5 = 0, CAST(54.5 AS DOUBLE), CAST(36.5 AS DOUBLE),
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(55.0013 AS DOUBLE) + CAST((c_custkey - c_custkey % 5) % 3000 AS DOUBLE) * CAST(0.05 AS DOUBLE) END,
+  CASE WHEN c_custkey % 5 = 0 THEN CAST(37.0017 AS DOUBLE) + CAST(c_custkey - c_custkey % 3000 AS DOUBLE) * CAST(0.001 AS DOUBLE) END
+FROM customer
+"""
+
 # Transactions as text fields in the layout of the input files, with the kinds of dirt they have.
 RAW_FIELDS = """
 SELECT customer_id, is_train, terminal_id, date AS true_date, mcc AS true_mcc, currency AS true_currency, country, city_raw,
@@ -99,6 +113,7 @@ BLOCKS: dict[str, tuple[str, list[str]]] = {
     "tx": (TX, []),
     "apartments": (APARTMENTS, []),
     "family": (FAMILY, []),
+    "chain": (CHAIN, []),
     "raw": (RAW_FIELDS, ["tx"]),
     # Train transactions of customers with one within 0.06 of home.
     "kept": (f"""SELECT * FROM tx WHERE is_train AND customer_id IN
@@ -202,6 +217,10 @@ def family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, FAMILY)
 
 
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, CHAIN)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, f"WITH tx AS ({TX}) {RAW_FIELDS}")
 

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import pytest
@@ -236,3 +236,58 @@ def test_lookup_join_does_not_shuffle_the_big_side(spark):
         assert lookup_join(big, codes, "code", "value", -1, broadcast_rows=10).filter("value = -1").count() == 160
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rounds_that_look_at_changes_only_equal_full_rounds(spark):
+    """Random customers of three homes who share places, one of them hot, against rounds in plain Python."""
+    rnd = random.Random(12)
+    homes = {c: (50.0 + i, 30.0) for i, c in enumerate("abc")}
+    places = {c: [(float(i), float(j)) for j in range(14)] for i, c in enumerate("abc")}
+
+    def visited(c):
+        mine = rnd.sample(places[c], rnd.randint(4, 7))
+        return {*mine, (9.0, 9.0), *([rnd.choice(places[rnd.choice("abc")])] if rnd.random() < 0.3 else [])}
+
+    kinds = {f"k{i}": rnd.choice("abc") for i in range(6)} | {f"t{i:02d}": rnd.choice("abc") for i in range(40)}
+    visits = {c: visited(kind) for c, kind in kinds.items()}
+    train = spark.createDataFrame([(c, *p, *homes[kinds[c]]) for c, ps in visits.items() if c[0] == "k" for p in ps],
+                                  "customer_id string, lat double, lon double, home_lat double, home_lon double")
+    test = spark.createDataFrame([(c, *p) for c, ps in visits.items() if c[0] == "t" for p in ps], "customer_id string, lat double, lon double")
+    got = {r[0]: (r[1], r[2]) for r in propagate.propagate_targets(train, test, "home", share=0.5).collect()}
+    want, rounds = {c: k for c, k in kinds.items() if c[0] == "k"}, 0
+    while True:
+        visitors = defaultdict(list)
+        for c in want:
+            for p in visits[c]:
+                visitors[p].append(c)
+        own = defaultdict(set)
+        for p, cs in visitors.items():
+            # Homes lie far apart, so a cluster is all visitors of one home.
+            home, n = Counter(want[c] for c in cs).most_common(1)[0]
+            if n >= 0.9 * len(cs):
+                for c in cs:
+                    if want[c] == home:
+                        own[c].add(p)
+        found = {}
+        for c in kinds.keys() - want.keys():
+            shared = min(((-len(own[k] & visits[c]), k) for k in own), default=(0, None))
+            if -shared[0] >= 4 and -shared[0] >= 0.5 * len(own[shared[1]]):
+                found[c] = want[shared[1]]
+        if not found:
+            break
+        rounds += 1
+        want |= found
+    assert rounds >= 2 and got == {c: homes[k] for c, k in want.items()}
+
+
+def test_customers_at_the_same_hot_places_are_matched_as_one(spark):
+    hot = [(float(i), 1.0) for i in range(1, 7)]
+    train = [(f"k{i:03d}", *p, 50.0, 30.0 + i / 1e6) for i in range(150) for p in hot]
+    train += [(f"z{i}", float(j), 2.0, 50.0, 30.0) for i in range(3) for j in range(1, 6)]
+    test = [(f"t{i:03d}", *p) for i in range(150) for p in hot] + [(f"u{i}", float(j), 2.0) for i in range(3) for j in range(1, 5 + i)] + [("v", 1.0, 1.0)]
+    known = spark.createDataFrame(train, "customer_id string, lat double, lon double, target_lat double, target_lon double")
+    asked = spark.createDataFrame(test, "customer_id string, lat double, lon double")
+    firsts = {r[0]: r[1] for r in propagate.merged_sets(asked, "customer_id").collect()}
+    assert {firsts[f"t{i:03d}"] for i in range(150)} == {"t000"} and [firsts[f"u{i}"] for i in range(3)] == ["u0", "u1", "u2"]
+    got = {r["customer_id"]: tuple(r)[1:] for r in propagate.match_by_shared_points(asked, known).collect()}
+    assert got == {f"t{i:03d}": ("k000", 6, 50.0, 30.0) for i in range(150)} | {"u1": ("z0", 5, 50.0, 30.0), "u2": ("z0", 5, 50.0, 30.0)}
