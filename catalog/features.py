@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalog import views
+from catalog import relations, views
 from catalog.registry import query
 from catalog.views import near, sql
 from waymark.materialize import cut_lineage
-from waymark.operators import lookups, surroundings
+from waymark.operators import surroundings
 from waymark.operators.radius import near_point_count as count_near
 from waymark.operators.radius import pair_distance_sum
 from waymark.plans import features as P
@@ -40,8 +40,8 @@ def point_table(spark, sf_dir):
 
 
 def dictionaries(spark, sf_dir):
-    train, test = views.train(spark, sf_dir), views.test(spark, sf_dir)
-    return [lookups.category_dictionary(train, test, c) for c in ("country", "mcc", "currency")]
+    made = relations._dictionaries(spark, sf_dir)
+    return [made[c] for c in ("country", "mcc", "currency")]
 
 
 def r6(column, name=None):
@@ -73,7 +73,7 @@ def _marks(column):
 
 def _marked(spark, sf_dir, column):
     model = P.feature_vectors(*dictionaries(spark, sf_dir)).stages[{"country": 0, "mccs": 1, "currency": 2}[column]]
-    points = P.point_table(views.train(spark, sf_dir), "home")
+    points = P.point_table(views.tx(spark, sf_dir))
     lists = {"mccs": F.transform("mccs", lambda m: m.cast("string")),
              "currency": F.array(F.col("first_currency.currency").cast("string"))}
     marked = model.transform(points.select(*PLACE, lists[column].alias(f"_{column}_list")))
@@ -81,15 +81,15 @@ def _marked(spark, sf_dir, column):
 
 
 @query(sql("""SELECT p.customer_id, p.lat, p.lon, string_agg(CASE WHEN k.mcc IS NULL THEN '0' ELSE '1' END, '' ORDER BY d.mcc) AS marks
-FROM (SELECT DISTINCT customer_id, lat, lon FROM tx WHERE is_train) p CROSS JOIN (SELECT DISTINCT mcc FROM tx) d
-LEFT JOIN (SELECT DISTINCT customer_id, lat, lon, mcc FROM tx WHERE is_train) k
+FROM (SELECT DISTINCT customer_id, lat, lon FROM tx) p CROSS JOIN (SELECT DISTINCT mcc FROM tx) d
+LEFT JOIN (SELECT DISTINCT customer_id, lat, lon, mcc FROM tx) k
 ON k.customer_id = p.customer_id AND k.lat = p.lat AND k.lon = p.lon AND k.mcc = d.mcc GROUP BY p.customer_id, p.lat, p.lon""", "tx"))
 def mcc_multi_hot(spark, sf_dir):
     return _marked(spark, sf_dir, "mccs")
 
 
 _FIRST_CURRENCY = """SELECT customer_id, lat, lon, currency FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, lat, lon ORDER BY date, currency) AS place
-FROM tx WHERE is_train) WHERE place = 1"""
+FROM tx) WHERE place = 1"""
 
 
 @query(sql(f"""SELECT customer_id, lat, lon, CASE currency WHEN 643 THEN '100' WHEN 840 THEN '010' ELSE '001' END AS marks FROM ({_FIRST_CURRENCY})""", "tx"))

@@ -227,32 +227,52 @@ def export_train_csv(spark, sf_dir):
     return _read_export(spark, path, [*EXPORT_NAMES, "home_lat", "home_lon", "work_lat", "work_lon"])
 
 
+_FEATURE = "struct<type:string,id:bigint,geometry:struct<type:string,coordinates:array<double>>,properties:struct<hintContent:string>,options:struct<preset:string>>"
+
+
+def _geojson_lines(spark, points, **how):
+    """What the sink has written, read again: (customer_id, value)."""
+    path = new_path(spark)
+    files.export_geojson(points, path, **how)
+    return spark.read.schema(f"customer_id {points.schema['customer_id'].dataType.simpleString()}, value string").json(path)
+
+
 @query(sql("""SELECT customer_id, 'Feature' AS type, CAST(max(CAST(terminal_id AS BIGINT)) AS BIGINT) AS id, 'Point' AS kind, lat, lon, max(country) AS hint,
 'islands#redIcon' AS preset FROM tx GROUP BY customer_id, lat, lon""", "tx"))
 def export_geojson(spark, sf_dir):
+    """One feature a line, written by the sink and parsed."""
     points = views.tx(spark, sf_dir).groupBy("customer_id", "lat", "lon").agg(
         F.max(F.col("terminal_id").cast("bigint")).alias("id"), F.max("country").alias("hint"))
-    features = files.geojson_features(points.withColumn("preset", F.lit("islands#redIcon")))
-    path = new_path(spark)
-    features.write.parquet(path)
-    read = lambda p: F.get_json_object("value", p)
-    return spark.read.parquet(path).select(
-        "customer_id", read("$.type").alias("type"), read("$.id").cast("bigint").alias("id"), read("$.geometry.type").alias("kind"),
-        read("$.geometry.coordinates[0]").cast("double").alias("lat"), read("$.geometry.coordinates[1]").cast("double").alias("lon"),
-        read("$.properties.hintContent").alias("hint"), read("$.options.preset").alias("preset"))
+    lines = _geojson_lines(spark, points.withColumn("preset", F.lit("islands#redIcon")), documents=False)
+    return lines.select("customer_id", F.from_json("value", _FEATURE, {"mode": "FAILFAST"}).alias("f")).select(
+        "customer_id", "f.type", "f.id", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates")[0].alias("lat"),
+        F.col("f.geometry.coordinates")[1].alias("lon"), F.col("f.properties.hintContent").alias("hint"), "f.options.preset")
 
 
-@query(sql("""SELECT customer_id, count(*) + 2 AS n_lines, CAST(sum(CAST(terminal_id AS BIGINT)) - 1 AS BIGINT) AS id_sum
-FROM (SELECT DISTINCT customer_id, terminal_id FROM tx) GROUP BY customer_id""", "tx"))
+@query(sql("""SELECT customer_id, 'FeatureCollection' AS type, count(*) + 1 AS n_features, CAST(sum(CAST(terminal_id AS BIGINT)) AS BIGINT) AS id_sum,
+CAST(-1 AS BIGINT) AS last_id, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, true AS ends_last
+FROM (SELECT DISTINCT customer_id, terminal_id, lat, lon FROM tx) GROUP BY customer_id""", "tx"))
 def export_geojson_documents(spark, sf_dir):
+    """Each document parsed: its first and last line make a collection with the sentinel, and every line between is a feature and a comma.
+
+    So the lines in a row are one valid document, and no document has to be put together to see it.
+    """
     points = views.tx(spark, sf_dir).select("customer_id", "terminal_id", "lat", "lon").distinct().select(
         "customer_id", F.col("terminal_id").cast("bigint").alias("id"), "lat", "lon", F.lit("h").alias("hint"), F.lit("p").alias("preset"))
-    path = new_path(spark)
-    files.export_geojson(points, path)
-    lines = spark.read.schema(f"customer_id {points.schema['customer_id'].dataType.simpleString()}, value string").json(path)
-    number = F.regexp_extract("value", r'"id":(-?\d+)', 1)
-    return lines.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.nullif(number, F.lit("")).cast("bigint")).alias("id_sum"))
+    lines = _geojson_lines(spark, points).withColumn("_at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    opens, closes = F.col("value").endswith("["), F.col("value").endswith("]}")
+    # A line between that isn't a feature and one comma fails to parse as this array of two.
+    feature = F.from_json(F.concat(F.lit("["), "value", F.lit("null]")), f"array<{_FEATURE}>", {"mode": "FAILFAST"})
+    between = F.when(~opens & ~closes, feature[0])
+    merged = lines.select("customer_id", "_at", opens.alias("opens"), closes.alias("closes"), "value", between.alias("f")).groupBy("customer_id").agg(
+        F.max(F.when(F.col("opens"), F.col("value"))).alias("head"), F.max(F.when(F.col("closes"), F.col("value"))).alias("tail"),
+        F.count_if("opens").alias("heads"), F.count_if("closes").alias("tails"), F.count("f").alias("n"), F.sum("f.id").alias("id_sum"),
+        *[getattr(F, fn)(F.col("f.geometry.coordinates")[i]).alias(name) for name, fn, i in (("south", "min", 0), ("north", "max", 0), ("west", "min", 1), ("east", "max", 1))],
+        (F.max_by("closes", "_at") & F.min_by("opens", "_at")).alias("ends_last"))
+    whole = F.from_json(F.concat("head", "tail"), f"struct<type:string,features:array<{_FEATURE}>>", {"mode": "FAILFAST"})
+    return merged.filter("heads = 1 and tails = 1").withColumn("d", whole).select(
+        "customer_id", "d.type", (F.col("n") + F.size("d.features")).alias("n_features"), "id_sum", F.col("d.features")[0]["id"].alias("last_id"),
+        "south", "north", "west", "east", "ends_last")
 
 
 # Scalar expressions.

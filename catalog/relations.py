@@ -111,23 +111,28 @@ def shop_index(spark, sf_dir):
     return shops.select("lat", "lon", "mcc", "weight", geo.grid_cell(F.col("lat"), R).alias("cell_x"), geo.grid_cell(F.col("lon"), R).alias("cell_y"))
 
 
+def _dictionaries(spark, sf_dir):
+    """All three, from one scan for the session."""
+    return views.stored(spark, sf_dir, "dictionaries", lambda: lookups.category_dictionaries([views.tx(spark, sf_dir)], ["country", "mcc", "currency"]))
+
+
 def _dictionary(column):
     return sql(f"SELECT {column} AS value, CAST(row_number() OVER (ORDER BY {column}) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT {column} FROM tx)", "tx")
 
 
 @query(_dictionary("country"))
 def category_dictionary_country(spark, sf_dir):
-    return lookups.category_dictionary(views.train(spark, sf_dir), views.test(spark, sf_dir), "country")
+    return _dictionaries(spark, sf_dir)["country"]
 
 
 @query(_dictionary("mcc"))
 def category_dictionary_mcc(spark, sf_dir):
-    return lookups.category_dictionary(views.train(spark, sf_dir), views.test(spark, sf_dir), "mcc")
+    return _dictionaries(spark, sf_dir)["mcc"]
 
 
 @query(_dictionary("currency"))
 def category_dictionary_currency(spark, sf_dir):
-    return lookups.category_dictionary(views.train(spark, sf_dir), views.test(spark, sf_dir), "currency")
+    return _dictionaries(spark, sf_dir)["currency"]
 
 
 @query(sql("SELECT lat, lon, mcc, date FROM (SELECT lat, lon, mcc, CAST(date AS VARCHAR) AS date FROM tx)", "tx"))

@@ -96,3 +96,15 @@ def test_no_text_of_a_field_ends_the_job(spark):
     default = got[""]["currency"]
     assert got["840"]["currency"] == 840 and got["+7"]["currency"] == 7 and got["12.5"]["currency"] == 12
     assert all(got[t]["currency"] == default for t in ("9999999999", "-9999999999", "1e400", "9" * 400, "2147483648", None, "é"))
+
+
+def test_dictionaries_of_several_tables_and_columns(spark):
+    from waymark.operators import lookups
+
+    a = spark.createDataFrame([(10, "b", 1.5), (9, "a", None), (None, "b", 1.5)], "code int, name string, extra double")
+    b = spark.createDataFrame([("", 100, -2.0), ("ä", 9, 0.1)], "name string, code int, extra double")
+    made = lookups.category_dictionaries([a, b], ["code", "name", "extra"])
+    got = {c: [tuple(r) for r in df.sort("idx").collect()] for c, df in made.items()}
+    assert got["code"] == [(None, 0), (9, 1), (10, 2), (100, 3)] and made["code"].schema["value"].dataType.simpleString() == "int"
+    assert got["name"] == [("", 0), ("a", 1), ("b", 2), ("ä", 3)] and got["extra"] == [(None, 0), (-2.0, 1), (0.1, 2), (1.5, 3)]
+    assert lookups.category_dictionary(a.limit(0), b.limit(0), "name").count() == 0

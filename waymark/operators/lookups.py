@@ -85,12 +85,22 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def category_dictionary(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
-    """(value, idx): the distinct values of both tables, numbered from 0 in their order.
+def category_dictionaries(tables: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, DataFrame]:
+    """(value, idx) for each column: the distinct values of all tables, numbered from 0 in their order, null first.
 
-    Meant for code lists. Values are numbered through a range partitioning all the same.
+    The columns are stacked, so each table is read once. For columns whose text gives the value back: codes, names, dates.
     """
     from waymark.sources.lines import add_row_id
 
-    values = union_train_test(train, test, [column]).distinct().select(F.col(column).alias("value"))
-    return add_row_id(values, ["value"], "idx")
+    kinds = dict(tables[0].select(*columns).dtypes)
+    both = tables[0].select(*columns)
+    for more in tables[1:]:
+        both = both.unionByName(more.select(*columns))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_pair")
+    values = cut_lineage(both.select(pairs).select("_pair.column", "_pair.value").distinct())
+    return {c: add_row_id(values.filter(F.col("column") == c).select(F.col("value").cast(kinds[c]).alias("value")), ["value"], "idx") for c in columns}
+
+
+def category_dictionary(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
+    """`category_dictionaries` of one column of two tables."""
+    return category_dictionaries([train, test], [column])[column]
