@@ -11,7 +11,7 @@ from catalog.views import near, sql
 from waymark.materialize import cut_lineage
 from waymark.operators import surroundings
 from waymark.operators.radius import near_point_count as count_near
-from waymark.operators.radius import pair_distance_sum
+from waymark.operators.radius import pair_distance_sums
 from waymark.plans import features as P
 
 R = 0.02
@@ -174,8 +174,7 @@ def point_label(spark, sf_dir):
 @query(sql("SELECT customer_id, cluster_id, round(tx_sum, 6) AS tx_sum, round(point_sum, 6) AS point_sum FROM cluster_pairs", "cluster_pairs"))
 def pairwise_within_group(spark, sf_dir):
     base = clustered(spark, sf_dir)
-    weighted, plain = pair_distance_sum(base, CLUSTER, "n_tx", "tx_sum"), pair_distance_sum(base, CLUSTER, name="point_sum")
-    return weighted.join(plain, CLUSTER).select(*CLUSTER, r6("tx_sum"), r6("point_sum"))
+    return pair_distance_sums(base, CLUSTER, {"tx_sum": "n_tx", "point_sum": None}).select(*CLUSTER, r6("tx_sum"), r6("point_sum"))
 
 
 @query(sql("SELECT customer_id, cluster_id, CAST(cluster_units AS BIGINT) AS cluster_units FROM cluster_units", "cluster_units"))

@@ -172,3 +172,18 @@ def test_aggregates_over_blocks_equal_brute_force(spark, block_size, tree_rows):
     want = sum((i % 4) * (j % 4) * ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
                for i, p in enumerate(points) for j, q in enumerate(points))
     assert total == pytest.approx(want)
+
+
+def test_coordinates_far_from_zero(spark):
+    """A thousand million radii away cells are still told apart; farther on they aren't, which is an error."""
+    def clusters(at):
+        points = [(at + x, -at + y) for x in (0.0, 0.5, 4.0) for y in (0.0, 0.5, 4.0)]
+        df = spark.createDataFrame(points, "lat double, lon double")
+        found = {}
+        for r in density.dbscan(df, 1.0, 1).collect():
+            found.setdefault(r["cluster_id"], set()).add((r["lat"] - at, r["lon"] + at))
+        return sorted(sorted(c) for c in found.values())
+
+    assert clusters(1e9) == clusters(0.0) and len(clusters(0.0)) == 4
+    with pytest.raises(Exception, match="larger radius"):
+        clusters(1e10)

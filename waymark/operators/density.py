@@ -36,8 +36,10 @@ def cell_size(eps: float) -> float:
 
 
 def pack_cell(cx: Column, cy: Column) -> Column:
-    """One integer per cell; both indexes have to fit 31 bits."""
-    return cx.cast("bigint") * F.lit(1 << 32) + cy.cast("bigint")
+    """One integer per cell. Both indexes have to fit 32 bits with their sign: farther cells raise an error."""
+    far = (F.abs(cx) >= 1 << 31) | (F.abs(cy) >= 1 << 31)
+    packed = cx.cast("bigint") * F.lit(1 << 32) + cy.cast("bigint")
+    return F.when(far, F.raise_error(F.lit("a coordinate is over 2 ** 31 cells from zero; use a larger radius"))).otherwise(packed)
 
 
 def cell_id(lat: Column, lon: Column, eps: float) -> Column:

@@ -195,32 +195,39 @@ def near_point_count(points: DataFrame, radius: float, by: Sequence[str] = ("cus
 
 def pair_distance_sum(points: DataFrame, keys: Sequence[str], weight: str | None = None,
                       name: str = "distance_sum", block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Per group the sum of w_p * w_q * distance(p, q) over all ordered pairs of its points.
+    """`pair_distance_sums` with one weight."""
+    return pair_distance_sums(points, keys, {name: weight}, block_size)
 
-    Points should be distinct, with their multiplicity as `weight`. Groups up to `block_size` are
-    joined with themselves and summed in place; larger ones are spread over their pairs of blocks.
+
+def pair_distance_sums(points: DataFrame, keys: Sequence[str], weights: dict[str, str | None], block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Per group, for each name and weight, the sum of w_p * w_q * distance(p, q) over all ordered pairs of its points; None weighs 1.
+
+    Points should be distinct, with their multiplicity as a weight. Groups up to `block_size` are joined with themselves and
+    summed in place; larger ones are spread over their pairs of blocks. Points meet once for all weights.
     """
-    keys = list(keys)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    plain, crowded = split_crowded(points.select(*keys, "lat", "lon", w.alias("w")), keys, block_size)
-    other = plain.select(*keys, F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("w").alias("o_w"))
+    keys, own = list(keys), [f"w{i}" for i in range(len(weights))]
+    weighed = [(F.col(w).cast("double") if w else F.lit(1.0)).alias(c) for c, w in zip(own, weights.values())]
+    plain, crowded = split_crowded(points.select(*keys, "lat", "lon", *weighed), keys, block_size)
+    other = plain.select(*keys, F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), *[F.col(c).alias(f"o_{c}") for c in own])
     apart = geo.distance(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
-    small = plain.join(other, keys).groupBy(*keys).agg(F.sum(F.col("w") * F.col("o_w") * apart).alias(name))
+    small = plain.join(other, keys).groupBy(*keys).agg(*[F.sum(F.col(c) * F.col(f"o_{c}") * apart).alias(name) for c, name in zip(own, weights)])
     if crowded is None:
         return small
 
-    sums = meet(crowded.drop("_n_blocks"), crowded.drop("_n_blocks"), keys, block_size,
-                lambda p, q: pair_sum(p, q, keys), T.StructType([*fields(crowded, *keys), T.StructField("_sum", T.DoubleType())]), half=True)
-    return small.unionByName(sums.groupBy(*keys).agg(F.sum("_sum").alias(name)))
+    schema = T.StructType([*fields(crowded, *keys), *[T.StructField(c, T.DoubleType()) for c in own]])
+    sums = meet(crowded.drop("_n_blocks"), crowded.drop("_n_blocks"), keys, block_size, lambda p, q: pair_sums(p, q, keys, own), schema, half=True)
+    return small.unionByName(sums.groupBy(*keys).agg(*[F.sum(c).alias(name) for c, name in zip(own, weights)]))
 
 
-def pair_sum(points: pd.DataFrame, others: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Weighted sum of distances between two blocks; a pair of different blocks counts in both orders."""
+def pair_sums(points: pd.DataFrame, others: pd.DataFrame, keys: list[str], weights: list[str]) -> pd.DataFrame:
+    """Weighted sums of distances between two blocks; a pair of different blocks counts in both orders."""
     if points.empty or others.empty:
-        return pd.DataFrame(columns=[*keys, "_sum"])
+        return pd.DataFrame(columns=[*keys, *weights])
     d_lat = points["lat"].to_numpy()[:, None] - others["lat"].to_numpy()
     d_lon = points["lon"].to_numpy()[:, None] - others["lon"].to_numpy()
-    total = points["w"].to_numpy() @ np.sqrt(d_lat * d_lat + d_lon * d_lon) @ others["w"].to_numpy()
+    apart = np.sqrt(d_lat * d_lat + d_lon * d_lon)
+    both = 1 if points["_i"].iloc[0] == points["_j"].iloc[0] else 2
     out = points[keys].head(1).copy()
-    out["_sum"] = total if points["_i"].iloc[0] == points["_j"].iloc[0] else 2 * total
+    for w in weights:
+        out[w] = both * (points[w].to_numpy() @ apart @ others[w].to_numpy())
     return out

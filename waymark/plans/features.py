@@ -19,7 +19,7 @@ from waymark.materialize import Written, cut_lineage
 from waymark.operators import surroundings
 from waymark.operators.density import cluster_points
 from waymark.operators.lookups import target_point
-from waymark.operators.radius import near_point_count, pair_distance_sum
+from waymark.operators.radius import near_point_count, pair_distance_sums
 
 PLACE = ["customer_id", "lat", "lon"]
 CLUSTER = ["customer_id", "cluster_id"]
@@ -100,7 +100,7 @@ def clustered_points(tx: DataFrame, target: str | None = None, radius: float = f
 
 
 def cluster_features(clustered: DataFrame) -> DataFrame:
-    """One row per cluster, all from the point table."""
+    """One row per cluster, all from the point table; `density_sum` is the distance over all ordered pairs of its transactions."""
     days = [F.sum(n) for n in WEEKDAY_NAMES]
     n_tx = F.sum("n_tx")
     first, last = F.min("first_date"), F.max("last_date")
@@ -115,7 +115,7 @@ def cluster_features(clustered: DataFrame) -> DataFrame:
         F.min("first_country").alias("_country"),
         F.max("label").alias("cluster_label"),
     )
-    apart = pair_distance_sum(clustered, CLUSTER, name="_apart")
+    apart = pair_distance_sums(clustered, CLUSTER, {"_apart": None, "density_sum": "n_tx"})
     return (
         numbers.join(apart, CLUSTER)
         .withColumn("cluster_avg_distance",
@@ -125,11 +125,6 @@ def cluster_features(clustered: DataFrame) -> DataFrame:
     )
 
 
-def cluster_density_sum(clustered: DataFrame) -> DataFrame:
-    """Distance over all ordered pairs of transactions of a cluster."""
-    return pair_distance_sum(clustered, CLUSTER, "n_tx", "_density_sum")
-
-
 @dataclass
 class Surroundings:
     """What the features need to know about all places, whoever visits them."""
@@ -140,7 +135,7 @@ class Surroundings:
 
 def point_features(clustered: DataFrame, around: Surroundings, clusters: DataFrame,
                    radius: float = fixed.RADIUS) -> DataFrame:
-    """One row per customer and place; `clusters` gives the number of transactions per cluster."""
+    """One row per customer and place; `clusters` is what `cluster_features` returns."""
     places = cut_lineage(clustered.select("lat", "lon").distinct())
     units = surroundings.district_apartment_units(places, around.apartments, radius)
     cluster_units = surroundings.cluster_apartment_units(clustered, around.apartments, radius)
@@ -148,8 +143,7 @@ def point_features(clustered: DataFrame, around: Surroundings, clusters: DataFra
     unvisited = surroundings.unvisited_shop_weight(surroundings.near_mccs(clustered, radius), weights)
     part = F.when(F.coalesce("cluster_units", F.lit(0)) == 0, 0.0).otherwise(F.col("units") / F.col("cluster_units"))
     return (
-        clustered.join(clusters.select(*CLUSTER, "cluster_n_tx"), CLUSTER)
-        .join(cluster_density_sum(clustered), CLUSTER)
+        clustered.join(clusters.select(*CLUSTER, "cluster_n_tx", "density_sum"), CLUSTER)
         .join(cluster_units, CLUSTER, "left")
         .join(units, ["lat", "lon"])
         .join(unvisited, PLACE)
@@ -157,7 +151,7 @@ def point_features(clustered: DataFrame, around: Surroundings, clusters: DataFra
             *PLACE, "cluster_id", "label", "mccs",
             F.col("first_currency.currency").alias("currency"),
             (F.col("n_tx") / F.col("cluster_n_tx")).alias("visit_ratio"),
-            (F.col("_density_sum") / F.col("near_count")).alias("density"),
+            (F.col("density_sum") / F.col("near_count")).alias("density"),
             "near_count",
             part.alias("apartments_percent"),
             calendar.date_ratio(F.col("first_date"), F.col("last_date"), F.col("n_tx")).alias("date_ratio"),
