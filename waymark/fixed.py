@@ -10,6 +10,9 @@ SPECTRUM_REACH_SQUARED = 1.0
 SHARED_POINT_SHARE = 0.9
 SHARED_CUSTOMER_SHARE = 1.0
 SHARED_MIN_POINTS = 4
+CHARACTERISTIC_MIN_POINTS = 4
+KMEANS_SIZES = range(5, 161, 5)
+KMEANS_TOLERANCE = 1e-6
 
 DEFAULT_CURRENCY = 643
 DEFAULT_MCC = 0
@@ -18,6 +21,11 @@ UNKNOWN_CITY = "UNKNOWN"
 TRANSACTION_HEADER = "amount,atm_address,"
 APARTMENT_HEADER = "latitude,longitude,year"
 
+# Columns of the predictions, and the texts of a map document.
+PREDICTION_COLUMNS = ["_ID_", "_WORK_LAT_", "_WORK_LON_", "_HOME_LAT_", "_HOME_LON_"]
+SENTINEL_PRESET = "islands#blueIcon"
+DOCUMENT_OPENING = '{"type": "FeatureCollection", "features": ['
+
 # Input columns by position.
 TEST_COLUMNS = [
     "amount", "atm_address", "atm_lat", "atm_lon", "city", "country", "currency",

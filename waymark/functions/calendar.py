@@ -13,10 +13,6 @@ def weekday_index(date: Column) -> Column:
     return F.weekday(date)
 
 
-def is_weekend(date: Column) -> Column:
-    return weekday_index(date) >= 5
-
-
 def holiday_bucket(date: Column, holidays=None) -> Column:
     """Bucket of the holiday period that holds the date, -1 for other days."""
     day = F.dayofyear(date)

@@ -53,7 +53,3 @@ def polar_offset(lat, lon, center_lat, center_lon) -> tuple[Column, Column]:
     """Distance and angle of a point as seen from a centre."""
     d_lat, d_lon = lat - center_lat, lon - center_lon
     return F.hypot(d_lat, d_lon), F.atan2(d_lon, d_lat)
-
-
-def as_column(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value

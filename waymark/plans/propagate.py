@@ -11,7 +11,6 @@ from waymark.operators.density import dbscan
 from waymark.operators.lookups import exclude_defined, keep_defined, shared_point_join, target_point
 
 POINT = ["lat", "lon"]
-MIN_POINTS = 4
 
 
 def known_visits(train: DataFrame, target: str) -> DataFrame:
@@ -39,7 +38,7 @@ def _characteristic(visits: DataFrame, share: float, radius: float = fixed.RADIU
     sizes = named.groupBy("p_lat", "p_lon").agg(F.count(F.lit(1)).alias("_n"))
     # The number of visitors decides on the minimum; equal targets are merged first, with their number.
     merged = named.groupBy("p_lat", "p_lon", *POINT).agg(F.count(F.lit(1)).alias("_w")).join(sizes, ["p_lat", "p_lon"])
-    merged = merged.withColumn("_least", F.least(F.lit(MIN_POINTS), F.col("_n")))
+    merged = merged.withColumn("_least", F.least(F.lit(fixed.CHARACTERISTIC_MIN_POINTS), F.col("_n")))
     clusters = cut_lineage(dbscan(merged, radius, "_least", by=["p_lat", "p_lon"], weight="_w").filter("role <> 'noise'"))
     largest = (
         clusters.groupBy("p_lat", "p_lon", "cluster_id").agg(F.sum("weight").alias("_size"))

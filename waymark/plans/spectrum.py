@@ -104,12 +104,12 @@ def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = SEEDS, feature
                max_iter: int = 20) -> KMeansModel:
     """Best of one run per seed, by training cost."""
     models = [
-        KMeans(k=k, tol=1e-6, seed=s, maxIter=max_iter, featuresCol=features).fit(vectors) for s in seeds
+        KMeans(k=k, tol=fixed.KMEANS_TOLERANCE, seed=s, maxIter=max_iter, featuresCol=features).fit(vectors) for s in seeds
     ]
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_score_by_k(vectors: DataFrame, ks: Sequence[int] = range(5, 161, 5), seeds: Sequence[int] = SEEDS,
+def kmeans_score_by_k(vectors: DataFrame, ks: Sequence[int] = fixed.KMEANS_SIZES, seeds: Sequence[int] = SEEDS,
                       features: str = "features") -> DataFrame:
     """(k, mean_distance): mean distance to the own centre for each number of clusters."""
     stored = cut_lineage(vectors.select(features))

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark import fixed
 from waymark.functions import text
 
-PRESET = "islands#blueIcon"
-PREDICTION_COLUMNS = ["_ID_", "_WORK_LAT_", "_WORK_LON_", "_HOME_LAT_", "_HOME_LON_"]
-
 
 def write_predictions(predictions: DataFrame, path: str, single_file: bool = False) -> None:
     """Customer, work and home as CSV with a header. One file only for results of modest size."""
-    rows = predictions.select(*PREDICTION_COLUMNS)
+    rows = predictions.select(*fixed.PREDICTION_COLUMNS)
     (rows.coalesce(1) if single_file else rows).write.option("header", True).csv(path)
 
 
@@ -89,9 +87,9 @@ def geojson_documents(df: DataFrame) -> DataFrame:
     a customer with very many points never becomes one value.
     """
     customers = df.select("customer_id").distinct()
-    sentinel = geojson_feature(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(""), F.lit(PRESET))
+    sentinel = geojson_feature(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(""), F.lit(fixed.SENTINEL_PRESET))
     opening = customers.select("customer_id", F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("id")).alias("_line"),
-                               F.lit('{"type": "FeatureCollection", "features": [').alias("value"))
+                               F.lit(fixed.DOCUMENT_OPENING).alias("value"))
     features = geojson_features(df).select(
         "customer_id", F.struct(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("id")).alias("_line"),
         F.concat(F.col("value"), F.lit(",")).alias("value"))
