@@ -291,3 +291,18 @@ def test_customers_at_the_same_hot_places_are_matched_as_one(spark):
     assert {firsts[f"t{i:03d}"] for i in range(150)} == {"t000"} and [firsts[f"u{i}"] for i in range(3)] == ["u0", "u1", "u2"]
     got = {r["customer_id"]: tuple(r)[1:] for r in propagate.match_by_shared_points(asked, known).collect()}
     assert got == {f"t{i:03d}": ("k000", 6, 50.0, 30.0) for i in range(150)} | {"u1": ("z0", 5, 50.0, 30.0), "u2": ("z0", 5, 50.0, 30.0)}
+
+
+def test_unvisited_weight_with_very_many_categories(spark):
+    """Ten thousand codes near one place: the work grows with their number, not with its square."""
+    n = 10_000
+    weights = [(1.0, 1.0, i, 1.0 / (1 + i % 7)) for i in range(n)] + [(2.0, 2.0, 5, 0.5)]
+    used = {"a": list(range(0, n, 2)), "b": [], "c": list(range(n)), "d": [5, 5, None, n + 1]}
+    rows = [(c, 1.0, 1.0, codes) for c, codes in used.items()] + [("a", 2.0, 2.0, [5]), ("b", 2.0, 2.0, [6]), ("b", 3.0, 3.0, [6]), ("e", 1.0, 1.0, [])]
+    rows += [(f"x{i}", 1.0, 1.0, list(range(i, n, 3))) for i in range(60)]
+    got = {(r["customer_id"], r["lat"]): r["unvisited_shop_weight"] for r in surroundings.unvisited_shop_weight(
+        spark.createDataFrame(rows, "customer_id string, lat double, lon double, near_mccs array<int>"),
+        spark.createDataFrame(weights, "lat double, lon double, mcc int, weight double")).collect()}
+    for c, lat, _, codes in rows:
+        assert got[(c, lat)] == pytest.approx(sum(w for y, _, m, w in weights if y == lat and m not in set(codes)))
+    assert len(got) == len(rows)

@@ -46,12 +46,13 @@ def unvisited_shop_weight(near_mccs: DataFrame, shop_weights: DataFrame) -> Data
 
     `near_mccs` is (customer_id, lat, lon, near_mccs), an array of categories. The weights depend on
     the point only, so they are one map per point, looked up by all its customers: no row per
-    customer and shop. Both arrays are as long as the list of category codes at most.
+    customer and shop. Both are as long as the list of category codes at most, and met by one look-up for each code.
     """
     per_point = shop_weights.groupBy(*POINT).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("mcc", "weight")))).alias("_weights")
     )
-    unused = F.map_filter("_weights", lambda mcc, _: ~F.array_contains(F.col("near_mccs"), mcc))
+    codes = F.array_distinct(F.filter("near_mccs", lambda mcc: mcc.isNotNull()))
+    unused = F.map_zip_with("_weights", F.map_from_arrays(codes, codes), lambda mcc, weight, used: F.when(used.isNull(), weight).otherwise(0.0))
     total = F.aggregate(F.map_values(unused), F.lit(0.0), lambda a, w: a + w)
     return near_mccs.join(per_point, POINT, "left").select(
         "customer_id", *POINT, F.coalesce(total, F.lit(0.0)).alias("unvisited_shop_weight")
