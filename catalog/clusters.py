@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -65,14 +66,16 @@ def dbscan(spark, sf_dir):
 
 # Spectra.
 
-_STEPS = ", ".join(f"round(max(CASE WHEN rank = {i + 1} THEN step END), 12) AS step_{i}" for i in range(1, 5))
-_PARTS = ", ".join(f"round(max(CASE WHEN rank = {i} THEN CAST(visits AS DOUBLE) / total END), 6) AS share_{i}" for i in range(1, 6))
+_STEPS = [(f"max(CASE WHEN rank = {i + 1} THEN step END)", f"step_{i}", 12) for i in range(1, 5)]
+_PARTS = [(f"max(CASE WHEN rank = {i} THEN CAST(visits AS DOUBLE) / total END)", f"share_{i}", 6) for i in range(1, 6)]
+_ROUNDED = ", ".join(f"round({text}, {digits}) AS {name}" for text, name, digits in _STEPS + _PARTS)
+_EXACT = f"[{', '.join(text for text, _, _ in _STEPS + _PARTS)}] AS x"
 
 
-def _spectrum_sql(nearest: str, totals: str, anchors: str = "") -> str:
-    return f"""SELECT customer_id, lat, lon, {_STEPS}, {_PARTS} FROM (SELECT n.*, t.total,
+def _spectrum_sql(nearest: str, totals: str, columns: str = _ROUNDED) -> str:
+    return f"""SELECT customer_id, lat, lon, {columns} FROM (SELECT n.*, t.total,
 (near_lat - lag(near_lat) OVER w) * (near_lat - lag(near_lat) OVER w) + (near_lon - lag(near_lon) OVER w) * (near_lon - lag(near_lon) OVER w) AS step
-FROM ({nearest}) n JOIN ({totals}) t USING (customer_id) {anchors} WINDOW w AS (PARTITION BY n.customer_id, n.lat, n.lon ORDER BY rank)) GROUP BY customer_id, lat, lon"""
+FROM ({nearest}) n JOIN ({totals}) t USING (customer_id) WINDOW w AS (PARTITION BY n.customer_id, n.lat, n.lon ORDER BY rank)) GROUP BY customer_id, lat, lon"""
 
 
 def _nearest_sql(visits: str) -> str:
@@ -125,12 +128,40 @@ def _spectrum_model(spark, sf_dir):
     return views.stored(spark, sf_dir, "spectrum_model", lambda: spectrum.fit_kmeans(_training_vectors(spark, sf_dir), 150))
 
 
-@query()
+_TOTAL = "SELECT customer_id, sum(visits) AS total FROM {} GROUP BY customer_id"
+_BUCKET = md5_number("'0'", "customer_id") + " % 10"
+views.BLOCKS.update({
+    # Ten customers' first spectra serve as centres.
+    "spectrum_centers": (f"""SELECT CAST({_BUCKET} AS INTEGER) AS prediction, arg_min(x, (customer_id, lat, lon)) AS center
+FROM ({_spectrum_sql(_nearest_sql('spectrum_visits'), _TOTAL.format('spectrum_visits'), _EXACT)}) s
+JOIN (SELECT customer_id, lat, lon FROM spectrum_visits WHERE d2 <= {double(R * R)}) USING (customer_id, lat, lon) GROUP BY 1""", ["spectrum_visits"]),
+    "both_visits": (f"""SELECT * FROM home_visits WHERE d2 <= 1 AND customer_id IN (SELECT customer_id FROM home_visits WHERE d2 <= 1
+GROUP BY customer_id HAVING count(*) >= 5 AND count(*) FILTER (d2 <= {double(R * R)}) > 0 AND count(*) FILTER (NOT d2 <= {double(R * R)}) > 0)""", ["home_visits"]),
+    "both_anchors": (f"""SELECT customer_id, lat, lon, near FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, near ORDER BY {_DRAW}, lat, lon) AS place
+FROM (SELECT *, d2 <= {double(R * R)} AS near FROM both_visits)) WHERE place = 1 OR NOT near""", ["both_visits"]),
+    "both_distances": (f"""SELECT customer_id, near, min(list_distance(x, center)) AS distance
+FROM ({_spectrum_sql(_nearest_sql('both_visits'), _TOTAL.format('both_visits'), _EXACT)}) s JOIN both_anchors USING (customer_id, lat, lon)
+CROSS JOIN spectrum_centers GROUP BY customer_id, near""", ["both_visits", "both_anchors", "spectrum_centers"]),
+    "separated": ("""SELECT customer_id, min(distance) FILTER (near) AS inside, min(distance) FILTER (NOT near) AS outside FROM both_distances
+GROUP BY customer_id""", ["both_distances"]),
+})
+_STATISTICS = """count(*) AS count, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance,
+round(min(x), 6) AS min, round(max(x), 6) AS max, round(CAST(count(*) FILTER (x <> 0) AS DOUBLE), 6) AS "numNonZeros",
+round(sum(abs(x)), 6) AS "normL1", round(sqrt(sum(x * x)), 6) AS "normL2\""""
+
+
+@query(sql(f"""SELECT component, {_STATISTICS} FROM (SELECT 0 AS component, inside AS x FROM separated
+UNION ALL SELECT 1, outside FROM separated
+UNION ALL SELECT 2, CASE WHEN inside < outside THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM separated) GROUP BY component""", "separated"))
 def spectrum_separation_test(spark, sf_dir):
-    """Column statistics of (near distance, outside distance, near is smaller), one row per component."""
-    table = spectrum.spectrum_separation_test(views.train(spark, sf_dir), _spectrum_model(spark, sf_dir))
+    """Column statistics of (near distance, outside distance, near is smaller), one row per component, by a table of ten centres."""
+    first = F.min_by(vector_to_array("features"), F.struct(*PLACE)).alias("center")
+    bucket = F.pmod(ranking.portable_hash(0, F.col("customer_id")), F.lit(10)).cast("int").alias("prediction")
+    centers = _training_vectors(spark, sf_dir).groupBy(bucket).agg(first)
+    table = spectrum.spectrum_separation_test(views.train(spark, sf_dir), centers)
     vectors = table.select(array_to_vector(F.array("in_distance", "out_distance", "separated")).alias("features"))
-    return spectrum.column_statistics(vectors)
+    stats = spectrum.column_statistics(vectors)
+    return stats.select("component", "count", *[F.round(m, 6).alias(m) for m in spectrum.METRICS])
 
 
 @query()
@@ -143,16 +174,41 @@ def _vectors(spark, sf_dir):
         "vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
-@query()
-def distance_to_centroid(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    model = spectrum.fit_kmeans(vectors, 10, seeds=(0, 1, 2))
-    return spectrum.distance_to_centroid(vectors, model).select("vec_id", "prediction", "centroid_distance")
+# The first vector of each label serves as a centre.
+_LABEL_CENTERS = """SELECT CAST(label AS INTEGER) AS prediction, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS center
+FROM embeddings WHERE label IS NOT NULL GROUP BY label"""
 
 
-@query("""SELECT CAST(component AS INTEGER) AS component, count(*) AS count, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance,
-round(min(x), 6) AS min, round(max(x), 6) AS max, round(CAST(count(*) FILTER (x <> 0) AS DOUBLE), 6) AS "numNonZeros",
-round(sum(abs(x)), 6) AS "normL1", round(sqrt(sum(x * x)), 6) AS "normL2"
+def _label_centers(spark, sf_dir):
+    rows = views.embeddings(spark, sf_dir).filter("label is not null")
+    first = F.min_by(F.transform("embedding", lambda x: x.cast("double")), "vec_id").alias("center")
+    return rows.groupBy(F.col("label").cast("int").alias("prediction")).agg(first)
+
+
+@query(f"""SELECT vec_id, prediction, round(distance, 6) AS centroid_distance FROM (SELECT vec_id, prediction, distance,
+row_number() OVER (PARTITION BY vec_id ORDER BY distance, prediction) AS place FROM (SELECT vec_id, prediction,
+list_distance(CAST(embedding AS DOUBLE[]), center) AS distance FROM embeddings CROSS JOIN ({_LABEL_CENTERS}))) WHERE place = 1""")
+def distance_to_centroid(spark, sf_dir):
+    placed = spectrum.distance_to_centroid(_vectors(spark, sf_dir), _label_centers(spark, sf_dir))
+    return placed.select("vec_id", "prediction", F.round("centroid_distance", 6).alias("centroid_distance"))
+
+
+@query(f"""SELECT k, 0 AS seed, cluster, count(*) AS n, round(sum(distance), 6) AS distance, round(sum(distance * distance), 6) AS cost,
+round(sum(first), 6) AS first, round(sum(last), 6) AS last
+FROM (SELECT k, CAST(prediction AS INTEGER) AS cluster, distance, first, last, row_number() OVER (PARTITION BY vec_id, k ORDER BY distance, prediction) AS place
+FROM (SELECT vec_id, k, prediction, list_distance(CAST(embedding AS DOUBLE[]), center) AS distance, CAST(embedding[1] AS DOUBLE) AS first,
+CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings CROSS JOIN ({_LABEL_CENTERS}) JOIN (VALUES (2), (5), (10)) sizes(k) ON prediction < k))
+WHERE place = 1 GROUP BY k, cluster""")
+def kmeans_assignment_sums(spark, sf_dir):
+    """What one round of K-Means reads off the vectors, for three sizes in one scan."""
+    centers = {r["prediction"]: r["center"] for r in _label_centers(spark, sf_dir).collect()}
+    runs = {(k, 0): np.array([centers[c] for c in sorted(centers) if c < k]) for k in (2, 5, 10)}
+    sums = spectrum.assignment_sums(_vectors(spark, sf_dir), runs)
+    return sums.select("k", "seed", "cluster", "n", *[F.round(c, 6).alias(c) for c in ("distance", "cost")],
+                       F.round(F.col("sums")[0], 6).alias("first"), F.round(F.element_at("sums", -1), 6).alias("last"))
+
+
+@query(f"""SELECT CAST(component AS INTEGER) AS component, {_STATISTICS}
 FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS component FROM embeddings) GROUP BY component""")
 def column_statistics(spark, sf_dir):
     stats = spectrum.column_statistics(_vectors(spark, sf_dir))

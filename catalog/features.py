@@ -13,6 +13,7 @@ from waymark.operators import surroundings
 from waymark.operators.radius import near_point_count as count_near
 from waymark.operators.radius import pair_distance_sums
 from waymark.plans import features as P
+from waymark.plans import predict
 
 R = 0.02
 PLACE, CLUSTER = ["customer_id", "lat", "lon"], ["customer_id", "cluster_id"]
@@ -288,3 +289,37 @@ def prepare_features(spark, sf_dir):
     table = P.prepare_features(train, P.Surroundings(views.apartments(spark, sf_dir), shops), "home")
     return table.select(*PLACE, "cluster_id", "label", "cluster_label", "currency", "country",
                         *_rounded_points([*P.POINT_NUMBERS, *P.CLUSTER_NUMBERS]))
+
+
+# The test customers, whose target is not known, in the place of the train customers near theirs.
+UNLABELLED = {"kept": ("SELECT * FROM tx WHERE NOT is_train", ["tx"])}
+
+
+@query(sql(f"SELECT * FROM ({_POINT_ALL}) JOIN ({_CLUSTER_ALL}) USING (customer_id, cluster_id)", *_USED_POINT, replaced=UNLABELLED))
+def prepare_features_unlabelled(spark, sf_dir):
+    """The features of customers without a target: all are kept, and no place has a label."""
+    table = P.prepare_features(views.test(spark, sf_dir), around(spark, sf_dir))
+    return table.select(*PLACE, "cluster_id", "label", "cluster_label", "currency", "country",
+                        *_rounded_points([*P.POINT_NUMBERS, *P.CLUSTER_NUMBERS]))
+
+
+_BOTH = {"kept": (f"SELECT * FROM tx WHERE NOT is_train OR (home_lat IS NOT NULL OR work_lat IS NOT NULL) AND {relations.md5_number(chr(39) + '0' + chr(39), 'customer_id')} % 1000 < 700", ["tx"])}
+_TARGET_LABEL = """CASE WHEN {near} AND {t}_lat IS NOT NULL AND customer_id IN
+(SELECT customer_id FROM kept WHERE {reach}) THEN 1 WHEN {t}_lat IS NOT NULL AND customer_id IN (SELECT customer_id FROM kept WHERE {reach}) THEN 0 END AS {t}_label"""
+_TARGET_LABELS = ", ".join(_TARGET_LABEL.format(
+    t=t, near=near("lat", "lon", f"{t}_lat", f"{t}_lon", R), reach=near("lat", "lon", f"{t}_lat", f"{t}_lon", 0.06)) for t in ("home", "work"))
+
+
+@query(sql(f"""SELECT * EXCLUDE (label, cluster_label) FROM ({_POINT_ALL}) JOIN ({_CLUSTER_ALL}) USING (customer_id, cluster_id)
+JOIN (SELECT DISTINCT customer_id, lat, lon, is_train, {_TARGET_LABELS} FROM kept) USING (customer_id, lat, lon)""", *_USED_POINT, replaced=_BOTH))
+def features_for_both_targets(spark, sf_dir):
+    """What `home_and_work` learns from and predicts: features made once, with a label for each target."""
+    train, test = views.train(spark, sf_dir), views.test(spark, sf_dir)
+    visits = predict.visits_of_both(train, test)
+    table = cut_lineage(P.features_of_visits(visits, around(spark, sf_dir)))
+    for target in predict.TARGETS:
+        known = P.target_labels(visits, target).withColumn("label", F.col("label").cast("int"))
+        table = table.join(known.withColumnRenamed("label", f"{target}_label"), PLACE, "left")
+    table = table.withColumn("is_train", F.col("customer_id").startswith("1")).withColumn("customer_id", F.expr("substring(customer_id, 2)"))
+    return table.select(*PLACE, "cluster_id", "is_train", "home_label", "work_label", "currency", "country",
+                        *_rounded_points([*P.POINT_NUMBERS, *P.CLUSTER_NUMBERS]))

@@ -155,19 +155,19 @@ GROUP BY customer_id, cluster_id""", ["points", "near_apartments"]),
 }
 
 
-def sql(query: str, *uses: str) -> str:
-    """`query` after the building blocks it uses and those they need."""
-    ordered: list[str] = []
+def sql(query: str, *uses: str, replaced: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """`query` after the building blocks it uses and those they need. `replaced` blocks stand for others of their name."""
+    blocks, ordered = {**BLOCKS, **(replaced or {})}, []
 
     def add(name):
-        for needed in BLOCKS[name][1]:
+        for needed in blocks[name][1]:
             add(needed)
         if name not in ordered:
             ordered.append(name)
 
     for name in uses:
         add(name)
-    head = ",\n".join(f"{name} AS ({BLOCKS[name][0]})" for name in ordered)
+    head = ",\n".join(f"{name} AS ({blocks[name][0]})" for name in ordered)
     return f"WITH RECURSIVE {head}\n{query}"
 
 

@@ -6,6 +6,7 @@ smaller table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -45,14 +46,19 @@ def weekday_counts() -> list:
     return [F.count_if(day == k).alias(name) for k, name in enumerate(WEEKDAY_NAMES)]
 
 
-def point_table(tx: DataFrame, target: str | None = None) -> DataFrame:
+def point_table(tx: DataFrame, target: str | None = None, targets: Sequence[str] = ()) -> DataFrame:
     """One row per customer and place: counts, dates, categories, first currency and country.
 
-    With a `target` also its known point. "First" is by date, then by value. The categories of a place
-    are at most the list of category codes.
+    With a `target` also its known point as `target_lat` and `target_lon`, and for each of `targets` the known point under
+    its own name. "First" is by date, then by value. The categories of a place are at most the list of category codes.
     """
     none = F.lit(None).cast("double")
     lat, lon = target_point(target) if target else (none, none)
+
+    def known(name):
+        own_lat, own_lon = target_point(name)
+        return F.min(F.struct(own_lat.alias(f"{name}_lat"), own_lon.alias(f"{name}_lon"))).alias(f"_{name}")
+
     table = tx.groupBy(*PLACE).agg(
         F.count(F.lit(1)).alias("n_tx"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
@@ -60,9 +66,11 @@ def point_table(tx: DataFrame, target: str | None = None) -> DataFrame:
         F.min(F.struct("date", "currency")).alias("first_currency"),
         F.min(F.struct("date", "country")).alias("first_country"),
         F.min(F.struct(lat.alias("target_lat"), lon.alias("target_lon"))).alias("_target"),
+        *[known(name) for name in targets],
         *holiday_counts(), *weekday_counts(),
     )
-    return table.select("*", "_target.*").drop("_target")
+    points = ["_target", *[f"_{name}" for name in targets]]
+    return table.select("*", *[f"{p}.*" for p in points]).drop(*points)
 
 
 def keep_near_known(visits: DataFrame, radius: float = fixed.KEEP_RADIUS) -> DataFrame:
@@ -92,11 +100,11 @@ def clustered_points(tx: DataFrame, target: str | None = None, radius: float = f
                      adaptive: bool = False) -> DataFrame:
     """Point table of the kept customers, with cluster, number of near points and label. Stored."""
     visits = cut_lineage(label_radius(keep_near_known(point_table(tx, target)), adaptive))
-    clusters = cluster_points(visits, radius)
-    near = near_point_count(visits, radius)
-    return cut_lineage(
-        visits.join(clusters, PLACE).join(near, PLACE).withColumn("label", point_label()).drop("label_radius")
-    )
+    return cut_lineage(_clustered(visits, radius).withColumn("label", point_label()).drop("label_radius"))
+
+
+def _clustered(visits: DataFrame, radius: float) -> DataFrame:
+    return visits.join(cluster_points(visits, radius), PLACE).join(near_point_count(visits, radius), PLACE)
 
 
 def cluster_features(clustered: DataFrame) -> DataFrame:
@@ -164,7 +172,27 @@ def point_features(clustered: DataFrame, around: Surroundings, clusters: DataFra
 def prepare_features(tx: DataFrame, around: Surroundings, target: str | None = None,
                      radius: float = fixed.RADIUS, adaptive: bool = False) -> DataFrame:
     """One row per customer and place: label, cluster features, point features. No vectors yet."""
-    clustered = clustered_points(tx, target, radius, adaptive)
+    return _features(clustered_points(tx, target, radius, adaptive), around, radius)
+
+
+def features_of_visits(visits: DataFrame, around: Surroundings, radius: float = fixed.RADIUS) -> DataFrame:
+    """`prepare_features` without labels, from a stored point table. Every customer of the table is kept."""
+    clustered = cut_lineage(_clustered(visits, radius).withColumn("label", F.lit(0.0)))
+    return _features(clustered, around, radius).drop("label", "cluster_label")
+
+
+def target_labels(visits: DataFrame, target: str, adaptive: bool = False) -> DataFrame:
+    """(customer_id, lat, lon, label) for one of the `targets` of a point table.
+
+    Only customers whose target is known and who have a place near it are kept. Their clusters and features are the same
+    for every target, so only these labels need to be made anew.
+    """
+    lat, lon = target_point(target)
+    known = visits.select(*PLACE, lat.alias("target_lat"), lon.alias("target_lon")).filter("target_lat is not null")
+    return label_radius(keep_near_known(known), adaptive).select(*PLACE, point_label().alias("label"))
+
+
+def _features(clustered: DataFrame, around: Surroundings, radius: float) -> DataFrame:
     clusters = cut_lineage(cluster_features(clustered))
     points = point_features(clustered, around, clusters, radius)
     return points.join(clusters.select(*CLUSTER, *CLUSTER_NUMBERS, "country", "cluster_label"), CLUSTER)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,6 +21,9 @@ from waymark.materialize import cut_lineage
 from waymark.operators.lookups import target_point
 from waymark.operators.ranking import consecutive_distance, nearest_points_k, sample_point_per_group
 
+# Executors need not have this package: the functions below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PLACE = ["customer_id", "lat", "lon"]
 K = fixed.SPECTRUM_POINTS
 STEP_NAMES = [f"step_{i}" for i in range(1, K)]
@@ -85,21 +93,42 @@ def spectrum_background_set(tx: DataFrame, target: str = "home", radius: float =
     return point_spectrum(sample_point_per_group(visits.filter(~inside(radius)), seed), visits)
 
 
-def distance_to_centroid(vectors: DataFrame, model: KMeansModel, features: str = "features") -> DataFrame:
-    """Add `prediction` and `centroid_distance`. The centres are as many rows as clusters."""
+def distance_to_centroid(vectors: DataFrame, model: KMeansModel | DataFrame, features: str = "features") -> DataFrame:
+    """Add `prediction` and `centroid_distance`, to the nearest centre of a model or of a table (prediction, center).
+
+    A table of centres has as many rows as clusters, like a model; of equally near ones the smallest number counts.
+    """
+    if isinstance(model, DataFrame):
+        return _distance_to_nearest(vectors, model, features)
     spark = vectors.sparkSession
     centers = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, _center array<double>"
     )
     placed = model.transform(vectors).withColumn("_values", vector_to_array(features))
-    squares = F.zip_with("_values", "_center", lambda x, c: (x - c) * (x - c))
     return (
         placed.join(F.broadcast(centers), "prediction")
-        .withColumn("centroid_distance", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)))
+        .withColumn("centroid_distance", _apart(F.col("_values"), F.col("_center")))
         .drop("_values", "_center")
     )
 
 
+def _apart(values, center):
+    squares = F.zip_with(values, center, lambda x, c: (x - c) * (x - c))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+
+
+def _distance_to_nearest(vectors: DataFrame, centers: DataFrame, features: str) -> DataFrame:
+    rows = sorted((int(r["prediction"]), [float(x) for x in r["center"]]) for r in centers.select("prediction", "center").collect())
+    if not rows:
+        raise ValueError("no centres")
+    listed = F.array(*[F.struct(F.lit(i).alias("prediction"), F.array(*[F.lit(x) for x in c]).alias("center")) for i, c in rows])
+    values = vector_to_array(features)
+    nearest = F.array_min(F.transform(listed, lambda c: F.struct(
+        _apart(values, c["center"]).alias("distance"), c["prediction"].alias("prediction"))))
+    placed = vectors.withColumn("_nearest", nearest)
+    return placed.withColumns({"prediction": F.col("_nearest.prediction"), "centroid_distance": F.col("_nearest.distance")}).drop("_nearest")
+
+
 def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = SEEDS, features: str = "features",
                max_iter: int = 20) -> KMeansModel:
     """Best of one run per seed, by training cost."""
@@ -109,21 +138,124 @@ def fit_kmeans(vectors: DataFrame, k: int, seeds: Sequence[int] = SEEDS, feature
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+@dataclass
+class KMeansRun:
+    """One (k, seed): its centres, the sum of squared distances to them, and the mean distance."""
+
+    centers: np.ndarray
+    cost: float
+    mean_distance: float
+
+
+#: Numbers in one matrix of distances.
+MATRIX_SIZE = 4_000_000
+
+SUMS = "k int, seed int, cluster int, n long, sums array<double>, distance double, cost double"
+
+
+def assignment_sums(vectors: DataFrame, runs: Mapping[tuple[int, int], np.ndarray], features: str = "features") -> DataFrame:
+    """One scan for all runs: for each (k, seed, cluster) its rows, their sum by component, and the sums of their distances
+    and squared distances to its centre. Clusters without rows have none; vectors that are null take no part.
+
+    `runs` holds the centres of each (k, seed). A task gives one row for each cluster, however many vectors it reads.
+    """
+    runs = {run: np.asarray(c, dtype=float) for run, c in runs.items()}
+    every = np.concatenate(list(runs.values()))
+    width = every.shape[1]
+    bounds = np.cumsum([0, *[len(c) for c in runs.values()]])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums = np.zeros(len(every), dtype=np.int64), np.zeros((len(every), width))
+        distance, cost = np.zeros(len(every)), np.zeros(len(every))
+        step = max(1, MATRIX_SIZE // len(every))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                x = np.stack(batch["x"].iloc[at:at + step].to_numpy())
+                d2 = np.zeros((len(x), len(every)))
+                for i in range(width):
+                    d2 += (x[:, i, None] - every[None, :, i]) ** 2
+                for low, high in zip(bounds, bounds[1:]):
+                    own = low + np.argmin(d2[:, low:high], axis=1)
+                    least = d2[np.arange(len(x)), own]
+                    n += np.bincount(own, minlength=len(every))
+                    cost += np.bincount(own, least, minlength=len(every))
+                    distance += np.bincount(own, np.sqrt(least), minlength=len(every))
+                    np.add.at(sums, own, x)
+        used = np.flatnonzero(n)
+        if not len(used):
+            return
+        run = np.searchsorted(bounds, used, side="right") - 1
+        named = np.array(list(runs), dtype=np.int32).reshape(-1, 2)[run]
+        yield pd.DataFrame({"k": named[:, 0], "seed": named[:, 1], "cluster": (used - bounds[run]).astype(np.int32), "n": n[used],
+                            "sums": list(sums[used]), "distance": distance[used], "cost": cost[used]})
+
+    arrays = vectors.filter(F.col(features).isNotNull()).select(vector_to_array(features).alias("x"))
+    return arrays.mapInPandas(partial, SUMS).groupBy("k", "seed", "cluster").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"),
+        F.sum("distance").alias("distance"), F.sum("cost").alias("cost"),
+    )
+
+
+def _spread(centers: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """At most k of the weighted centres, drawn by weight times squared distance to those drawn before."""
+    draw, least, taken = weights.astype(float), np.full(len(centers), np.inf), []
+    while len(taken) < min(k, len(centers)) and draw.sum() > 0:
+        taken.append(rng.choice(len(centers), p=draw / draw.sum()))
+        least = np.minimum(least, ((centers - centers[taken[-1]]) ** 2).sum(axis=1))
+        draw = weights * least
+    return centers[taken]
+
+
+def starting_centers(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int] = SEEDS,
+                     features: str = "features") -> dict[tuple[int, int], np.ndarray]:
+    """Centres to start each (k, seed) from: one short fit of the largest k for each seed, whose centres the smaller ones draw from."""
+    starts = {}
+    for seed in seeds:
+        model = KMeans(k=max(ks), seed=seed, maxIter=1, tol=fixed.KMEANS_TOLERANCE, featuresCol=features).fit(vectors)
+        centers = np.array(model.clusterCenters())
+        weights = np.array(model.summary.clusterSizes[:len(centers)], dtype=float)
+        for k in ks:
+            starts[k, seed] = centers if k >= len(centers) else _spread(centers, weights, k, np.random.default_rng([seed, k]))
+    return starts
+
+
+def fit_kmeans_sizes(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int] = SEEDS, features: str = "features",
+                     max_iter: int = 20, tol: float = fixed.KMEANS_TOLERANCE) -> dict[tuple[int, int], KMeansRun]:
+    """All sizes and seeds together: a round reads the vectors once, whatever the number of runs.
+
+    A run leaves the rounds when none of its centres moves farther than `tol`. A cluster that loses all rows keeps its
+    centre. What reaches the driver is one row for each cluster: the sum of all k, times the seeds.
+    """
+    stored = cut_lineage(vectors.filter(F.col(features).isNotNull()).select(features))
+    if stored.isEmpty():
+        return {}
+    centers = starting_centers(stored, ks, seeds, features)
+    moving = set(centers)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        moved = {run: centers[run].copy() for run in moving}
+        for r in assignment_sums(stored, {run: centers[run] for run in sorted(moving)}, features).collect():
+            moved[r["k"], r["seed"]][r["cluster"]] = np.array(r["sums"]) / r["n"]
+        moving = {run for run, now in moved.items() if ((now - centers[run]) ** 2).sum(axis=1).max() > tol * tol}
+        centers.update(moved)
+    totals = assignment_sums(stored, centers, features).groupBy("k", "seed").agg(
+        F.sum("cost").alias("cost"), (F.sum("distance") / F.sum("n")).alias("mean_distance")).collect()
+    return {(r["k"], r["seed"]): KMeansRun(centers[r["k"], r["seed"]], r["cost"], r["mean_distance"]) for r in totals}
+
+
 def kmeans_score_by_k(vectors: DataFrame, ks: Sequence[int] = fixed.KMEANS_SIZES, seeds: Sequence[int] = SEEDS,
                       features: str = "features") -> DataFrame:
-    """(k, mean_distance): mean distance to the own centre for each number of clusters."""
-    stored = cut_lineage(vectors.select(features))
-    scores = None
-    for k in ks:
-        model = fit_kmeans(stored, k, seeds, features)
-        score = distance_to_centroid(stored, model, features).agg(
-            F.lit(k).alias("k"), F.avg("centroid_distance").alias("mean_distance")
-        )
-        scores = score if scores is None else scores.unionByName(score)
-    return scores
-
-
-def spectrum_separation_test(tx: DataFrame, model: KMeansModel, target: str = "home",
+    """(k, mean_distance): mean distance to the own centre for each number of clusters, by the run of least cost. No rows without vectors."""
+    runs, best = fit_kmeans_sizes(vectors, list(ks), seeds, features), {}
+    for (k, _), run in sorted(runs.items()):
+        if k not in best or run.cost < best[k].cost:
+            best[k] = run
+    return vectors.sparkSession.createDataFrame(
+        [(k, float(run.mean_distance)) for k, run in best.items()], "k int, mean_distance double")
+
+
+def spectrum_separation_test(tx: DataFrame, model: KMeansModel | DataFrame, target: str = "home",
                              radius: float = fixed.RADIUS, seed: int = 0) -> DataFrame:
     """Per customer the centroid distance of a random point near the target, the smallest among the points
     outside, and whether the near one is smaller."""
