@@ -89,6 +89,6 @@ def test_distance_to_a_table_of_centers(spark):
     centers = spark.createDataFrame([(4, [0.0, 0.0]), (2, [3.0, 4.0]), (9, [3.0, 4.0])], "prediction int, center array<double>")
     df = vectors(spark, [(0, 0), (3, 4), (6, 8), None])
     got = {r["id"]: (r["prediction"], r["centroid_distance"]) for r in spectrum.distance_to_centroid(df, centers).collect()}
-    assert got[0] == (4, 0.0) and got[1] == (2, 0.0) and got[2] == (2, 5.0)
+    assert got[0] == (4, 0.0) and got[1] == (2, 0.0) and got[2] == (2, 5.0) and got[3] == (None, None)
     with pytest.raises(ValueError):
         spectrum.distance_to_centroid(df, centers.limit(0))

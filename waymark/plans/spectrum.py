@@ -96,7 +96,8 @@ def spectrum_background_set(tx: DataFrame, target: str = "home", radius: float =
 def distance_to_centroid(vectors: DataFrame, model: KMeansModel | DataFrame, features: str = "features") -> DataFrame:
     """Add `prediction` and `centroid_distance`, to the nearest centre of a model or of a table (prediction, center).
 
-    A table of centres has as many rows as clusters, like a model; of equally near ones the smallest number counts.
+    A table of centres has as many rows as clusters, like a model; of equally near ones the smallest number counts, and
+    a vector that is null gets null.
     """
     if isinstance(model, DataFrame):
         return _distance_to_nearest(vectors, model, features)
@@ -122,9 +123,10 @@ def _distance_to_nearest(vectors: DataFrame, centers: DataFrame, features: str)
     if not rows:
         raise ValueError("no centres")
     listed = F.array(*[F.struct(F.lit(i).alias("prediction"), F.array(*[F.lit(x) for x in c]).alias("center")) for i, c in rows])
-    values = vector_to_array(features)
-    nearest = F.array_min(F.transform(listed, lambda c: F.struct(
-        _apart(values, c["center"]).alias("distance"), c["prediction"].alias("prediction"))))
+    # A list of one vector, so that it is unpacked once and not for each centre.
+    nearest = F.transform(F.array(vector_to_array(features)), lambda values: F.array_min(F.transform(listed, lambda c: F.struct(
+        _apart(values, c["center"]).alias("distance"), c["prediction"].alias("prediction")))))[0]
+    nearest = F.when(F.col(features).isNotNull(), nearest)
     placed = vectors.withColumn("_nearest", nearest)
     return placed.withColumns({"prediction": F.col("_nearest.prediction"), "centroid_distance": F.col("_nearest.distance")}).drop("_nearest")
 
