@@ -60,22 +60,33 @@ def test_odd_rows_and_missing_labels(spark, odd, nothing):
         assert {r["score"] for r in module.scored(odd, empty).collect()} == {0.0}
 
 
+def padded_logits(model, bags):
+    """The model bag by bag, padded with a mask."""
+    p = model.p
+    x, mask = np.zeros((len(bags), max(map(len, bags)), quality.FEATURES)), np.zeros((len(bags), max(map(len, bags))), bool)
+    for i, b in enumerate(bags):
+        x[i, :len(b)], mask[i, :len(b)] = b, True
+    h = np.tanh(((x - model.mean) / model.scale) @ p["W"] + p["w0"])
+    e = np.where(mask, (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["u"], -np.inf)
+    weight = np.exp(e - e.max(axis=1, keepdims=True))
+    weight /= weight.sum(axis=1, keepdims=True)
+    return (weight[:, :, None] * h).sum(axis=1) @ p["a"] + p["b"]
+
+
 def test_attention_gradient_and_flat_scores():
     rules = quality.QualityRules(hidden=5, gate=3)
     r = np.random.default_rng(0)
     bags = [r.normal(size=(n, quality.FEATURES)) for n in (1, 4, 2)]
-    x, mask = np.zeros((3, 4, quality.FEATURES)), np.zeros((3, 4), bool)
-    for i, b in enumerate(bags):
-        x[i, :len(b)], mask[i, :len(b)] = b, True
+    x, first = quality.flat(bags)
     model = quality.AttentionModel(rules, np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
     y = np.array([1.0, 0.0, 1.0])
 
     def loss():
-        z = model.forward(x, mask)[0]
+        z = padded_logits(model, bags)
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
-    assert np.allclose(model.score(bags), 1 / (1 + np.exp(-model.forward(x, mask)[0])))
-    gradient = model.gradient(x, mask, y)
+    assert np.allclose(model.score(bags), 1 / (1 + np.exp(-padded_logits(model, bags))))
+    gradient = model.gradient(x, first, y)
     for name in model.NAMES:
         flat = model.p[name].reshape(-1)
         for i in range(0, flat.size, max(1, flat.size // 7)):
@@ -90,6 +101,53 @@ def test_attention_gradient_and_flat_scores():
             assert abs((ends[0] - ends[1]) / 2e-5 - gradient[name].reshape(-1)[i]) < 1e-6
 
 
+def plain_encode(text, passage):
+    """`encode` word by word."""
+    import re
+
+    kind = lambda b: quality.KINDS[quality.TABLE[b]]
+    found = [(m.start(), m[0]) for m in re.finditer(rb"[^ \t\n\r\v\f]+", text)]
+    if not found:
+        return [[0.0] * quality.FEATURES]
+    cuts = list(range(0, len(found), passage))
+    out, before = [], 0.0
+    for k, i in enumerate(cuts):
+        words = [w for _, w in found[i:i + passage]]
+        body = text[found[i][0] if k else 0:found[i + passage][0] if i + passage < len(found) else len(text)]
+        n, sizes = len(words), [len(w) for w in words]
+        mean = sum(sizes) / n
+        different = len(set(words)) / n
+        marked = sum(quality.TABLE[w[-1]] >= quality.KINDS.index("sign") and kind(w[-1]) != "wide" for w in words)
+        out.append([sum(kind(b) == name for b in body) / len(body) for name in quality.KINDS] + [
+            np.log1p(n) / 4, mean / 10, min((sum(v * v for v in sizes) / n - mean * mean) ** 0.5 if len(set(sizes)) > 1 else 0.0, 20) / 10, different,
+            sum(a == b for a, b in zip(words, words[1:])) / n, marked / n, before, min(len(cuts), 20) / 20])
+        before = different
+    return out
+
+
+def test_encoding_equals_word_by_word(odd):
+    texts = {(r["text"] or "").encode() for r in odd.collect()} | {b" one two two, two! |x| (y) 12\x0b\x0c3 ", "Äpfel 漢字 a_b\n\nc".encode()}
+    for text in texts:
+        for passage in (3, 48):
+            assert np.allclose(quality.encode(text, passage), plain_encode(text, passage), atol=1e-6)
+
+
+def test_every_passage_takes_part_in_the_fit(spark):
+    """What tells labels apart stands in one of 200 passages, at a place that thinning to 64 would often miss."""
+    r = random.Random(2)
+    rows = []
+    for i in range(60):
+        words = [r.choice("alpha beta gamma delta".split()) for _ in range(9600)]
+        if i % 2:
+            at = 48 * r.randrange(200)
+            words[at:at + 48] = ["|||"] * 48
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(docs, docs.select("doc_id", "label"), quality.QualityRules(steps=200, batch=60))
+    got = {x["doc_id"]: x["score"] for x in quality.scored(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i, _, _ in rows)
+
+
 def test_passages_reach_the_end():
     text = ("word " * 1000 + "!!! ||| " * 50).encode()
     rows = quality.encode(text, 48)

@@ -6,10 +6,12 @@ labels of documents, gives each passage a weight, and a linear layer scores the
 * Encoding: shares of kinds of characters, word lengths, repeated and different words of a passage, and two numbers for the
   words it shares with the passage before. No words are remembered, so it works alike in every language.
 * Model: h = tanh(W x); attention softmax(u . (tanh(V h) * sigmoid(U h))); logit = a . sum(attention * h) + b. It is
-  trained by Adam on about `fit_rows` labelled rows at most, picked by a hash of the id; the seed is fixed.
+  trained by Adam on about `fit_rows` labelled rows at most, picked by a hash of the id; the seed is fixed. All passages of
+  these rows take part, flat: attention is normalised within each bag, however many passages it has.
 
 Texts are cut into passages of `passage` words, to the end. Null and empty texts are one empty passage and get its score.
-Without labelled rows every score is 0.
+Without labelled rows every score is 0. Rows that repeat a text get the same score; of labels that repeat an id, the higher
+counts. `scored` sets the column `score` and leaves all others as they are.
 """
 
 from __future__ import annotations
@@ -23,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import labelled_sample, travels, utf8
-from waymark.materialize import Written
 
 travels(__name__)
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    #: About as many labelled rows are read to fit, and as many passages of each, spread over its text, take part in a step.
+    #: About as many labelled rows are read to fit, with all their passages.
     fit_rows: int = 8_000
-    fit_passages: int = 64
     passage: int = 48
     hidden: int = 24
     gate: int = 12
@@ -96,7 +96,7 @@ def encode(text: bytes, passage: int) -> np.ndarray:
 
 
 class AttentionModel:
-    """The parameters, forward and backward passes over padded bags (bags, passages, features) with a mask."""
+    """The parameters, forward and backward passes. Bags lie flat: one row for each passage, and where each bag starts."""
 
     NAMES = ("W", "w0", "V", "U", "u", "a", "b")
 
@@ -107,66 +107,56 @@ class AttentionModel:
         self.p = {"W": r.normal(0, d ** -0.5, (d, h)), "w0": np.zeros(h), "V": r.normal(0, h ** -0.5, (h, g)), "U": r.normal(0, h ** -0.5, (h, g)),
                   "u": r.normal(0, g ** -0.5, g), "a": r.normal(0, h ** -0.5, h), "b": np.zeros(())}
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
         p = self.p
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
         h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["w0"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = np.where(mask, (t * s) @ p["u"], -np.inf)
-        weight = np.exp(e - e.max(axis=1, keepdims=True))
-        weight /= weight.sum(axis=1, keepdims=True)
-        z = (weight[:, :, None] * h).sum(axis=1)
-        return z @ p["a"] + p["b"], (h, t, s, weight, z)
+        e = (t * s) @ p["u"]
+        weight = np.exp(e - np.maximum.reduceat(e, first)[of])
+        weight /= np.add.reduceat(weight, first)[of]
+        z = np.add.reduceat(weight[:, None] * h, first)
+        return z @ p["a"] + p["b"], (of, h, t, s, weight, z)
 
-    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, n = self.p, len(y)
-        logit, (h, t, s, weight, z) = self.forward(x, mask)
+        logit, (of, h, t, s, weight, z) = self.forward(x, first)
         d_logit = (1 / (1 + np.exp(-logit)) - y) / n
-        d_z = d_logit[:, None] * p["a"]
-        d_weight = (h * d_z[:, None, :]).sum(axis=2)
-        d_e = weight * (d_weight - (weight * d_weight).sum(axis=1, keepdims=True))
-        d_ts = d_e[:, :, None] * p["u"]
+        d_z = (d_logit[:, None] * p["a"])[of]
+        d_weight = (h * d_z).sum(axis=1)
+        d_e = weight * (d_weight - np.add.reduceat(weight * d_weight, first)[of])
+        d_ts = d_e[:, None] * p["u"]
         d_v, d_u = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
-        d_h = weight[:, :, None] * d_z[:, None, :] + d_v @ p["V"].T + d_u @ p["U"].T
-        d_in = d_h * (1 - h * h)
-        flat = lambda v: v.reshape(-1, v.shape[-1])
-        return {"W": flat((x - self.mean) / self.scale).T @ flat(d_in), "w0": flat(d_in).sum(axis=0), "V": flat(h).T @ flat(d_v), "U": flat(h).T @ flat(d_u),
-                "u": (d_e[:, :, None] * t * s).sum(axis=(0, 1)), "a": z.T @ d_logit, "b": d_logit.sum()}
+        d_in = (weight[:, None] * d_z + d_v @ p["V"].T + d_u @ p["U"].T) * (1 - h * h)
+        return {"W": ((x - self.mean) / self.scale).T @ d_in, "w0": d_in.sum(axis=0), "V": h.T @ d_v, "U": h.T @ d_u,
+                "u": (d_e[:, None] * t * s).sum(axis=0), "a": z.T @ d_logit, "b": d_logit.sum()}
 
-    def train(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rules: QualityRules) -> None:
+    def train(self, bags: list[np.ndarray], y: np.ndarray, rules: QualityRules) -> None:
         r = np.random.default_rng(rules.seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
+        moment = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, rules.steps + 1):
             rows = r.integers(0, len(y), rules.batch)
-            longest = max(1, int(mask[rows].sum(axis=1).max()))
-            g = self.gradient(x[rows, :longest], mask[rows, :longest], y[rows])
+            g = self.gradient(*flat([bags[i] for i in rows]), y[rows])
             rate = rules.rate * (1 - step / (rules.steps + 1))
             for k in self.NAMES:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
+                moment[k] = 0.9 * moment[k] + 0.1 * g[k]
                 second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                move = first[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+                move = moment[k] / (1 - 0.9 ** step) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
                 self.p[k] = self.p[k] - rate * (move + rules.decay * self.p[k])
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
-        """Scores of bags of any size, flat: attention is normalised within each bag."""
-        p, x = self.p, np.concatenate(bags)
-        of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        first = np.concatenate(([0], np.cumsum([len(b) for b in bags])))[:-1]
-        h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["w0"])
-        e = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["u"]
-        weight = np.exp(e - np.maximum.reduceat(e, first)[of])
-        logit = np.add.reduceat(weight * (h @ p["a"]), first) / np.add.reduceat(weight, first) + p["b"]
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.forward(*flat(bags))[0], -30, 30)))
+
+
+def flat(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All passages of all bags, and the first of each bag."""
+    return np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags])))[:-1]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], rules: QualityRules) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = []
-        for value in utf8(batch.column(0)):
-            bag = encode(value or b"", rules.passage)
-            if len(bag) > rules.fit_passages:
-                bag = bag[np.linspace(0, len(bag) - 1, rules.fit_passages).astype(int)]
-            bags.append(bag.astype(np.float32).tobytes())
+        bags = [encode(value or b"", rules.passage).astype(np.float32).tobytes() for value in utf8(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch.column(1).cast(pa.int64())], ["bag", "label"])
 
 
@@ -176,14 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()
     if rows.empty:
         return None
     rows = rows.sort_values(["label", "bag"])
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in rows["bag"]]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in rows["bag"]]
     every = np.concatenate(bags)
-    model = AttentionModel(rules, every.mean(axis=0), every.std(axis=0) + 1e-3)
-    longest = max(map(len, bags))
-    x, mask = np.zeros((len(bags), longest, FEATURES), np.float32), np.zeros((len(bags), longest), bool)
-    for i, b in enumerate(bags):
-        x[i, :len(b)], mask[i, :len(b)] = b, True
-    model.train(x, mask, rows["label"].to_numpy(float), rules)
+    model = AttentionModel(rules, every.mean(axis=0, dtype=float), every.std(axis=0, dtype=float) + 1e-3)
+    model.train(bags, rows["label"].to_numpy(float), rules)
     return model
 
 
