@@ -53,3 +53,53 @@ def test_signature_leaves_no_container_out(spark):
 
     sizes = spark.range(1, 200).select("id", decontaminate.signature_size(F.col("id"), 0.8).alias("k")).collect()
     assert all(r["id"] - r["k"] < 0.8 * r["id"] - 1e-9 <= r["id"] - r["k"] + 1 for r in sizes)
+
+
+def test_signature_of_a_class_is_enough_for_its_items(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [r["k"] for r in spark.range(1, 600).select("id", decontaminate.signature_size(F.col("id"), 0.8).alias("k")).orderBy("id").collect()]
+    assert sizes == sorted(sizes)
+    items = spark.createDataFrame([(n, " ".join(f"i{n}x{k}" for k in range(n + 4))) for n in (1, 2, 3, 4, 7, 8, 31, 32, 100)], "item_id long, text string")
+    rows = decontaminate.items_of(items, decontaminate.ContainmentRules()).groupBy("item_id", "n", "partition").agg(F.sum(F.col("in_signature").cast("int")).alias("k")).collect()
+    assert len(rows) == 9 and all(r["n"] == r["item_id"] and r["partition"] == r["n"].bit_length() - 1 for r in rows)
+    assert all(r["k"] == min(r["n"], sizes[2 ** (r["partition"] + 1) - 2]) >= sizes[r["n"] - 1] for r in rows)
+
+
+def test_blocks_follow_the_classes(spark):
+    items = spark.createDataFrame([(n * 10 + j, " ".join(f"i{n}x{j}x{k}" for k in range(n + 4))) for n in (1, 3, 6, 12, 50) for j in range(4)], "item_id long, text string")
+    made = decontaminate.items_of(items, decontaminate.ContainmentRules())
+    for size in (10 ** 6, 60, 25):
+        dealt, blocks = decontaminate.dealt(made, size)
+        rows = dealt.select("item_id", "partition", "block").distinct().collect()
+        assert len(rows) == 20 and {r["block"] for r in rows} <= set(range(blocks)) and (size < 10 ** 6 or blocks == 1)
+        order = sorted(rows, key=lambda r: r["partition"])
+        assert all(a["block"] <= b["block"] for a, b in zip(order, order[1:]) if a["partition"] < b["partition"])
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    words = item.split()
+    names = "doc_id long, text string, gone_id string, content string, shingle string"
+    docs = spark.createDataFrame([
+        (1, " ".join(words[:8]), "a", "b", "c"), (1, " ".join(words[4:]), "a", "b", "c"), (2, item, "a", "b", "c"), (2, "clean text of its own here", "a", "b", "c"),
+        (3, item + " more", "a", "b", "c"), (3, item + " more", "a", "b", "c"), (None, item, "a", "b", "c")], names)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["shared"]) for r in decontaminate.contained(docs, benchmark).collect()) == [(2, 8), (3, 8)]
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted(
+        [(1, " ".join(words[:8])), (1, " ".join(words[4:])), (2, "clean text of its own here"), (0, item)])
+
+
+def test_sql_finds_short_items_and_repeated_ids(spark, odd):
+    import duckdb
+
+    rows = odd.collect()
+    items, benchmark = items_for(spark, rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in rows])
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(i, t) for i, t in items])
+    want = {(a, b, c, d) for a, b, c, d, _ in con.execute(decontaminate.contained_sql()).fetchall()}
+    assert want == brute({(r["doc_id"], r["text"]) for r in rows}, items)
