@@ -55,6 +55,31 @@ def test_reruns_agree_and_heavy_weights_come_first(spark):
     assert taken[0] > 1.5 * taken[1] > 0
 
 
+def test_crowded_bins_are_cut_until_few_rows_are_sorted(spark):
+    """Texts of numbers weigh 0.1, so nearly half of a source falls into the last of the first bins."""
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("123 456"), F.col("id"), F.when(F.col("id") % 5 == 0, "7 8 9")).alias("text"),
+        F.when(F.col("id") % 3 < 2, "a").otherwise("b").alias("source"))
+    docs = docs.unionByName(docs.filter("doc_id < 300")).unionByName(docs.filter("doc_id = 7").select("doc_id", "text", F.lit("c").alias("source")))
+    want = {}
+    keyed = mixing._measured(docs, mixing.MixRules(), None).collect()
+    got = [sorted(mixing.mix(docs, mixing.MixRules(bins=bins, sorted_rows=rows)).collect()) for bins, rows in ((4096, 10 ** 9), (4096, 16), (64, 1))]
+    assert got[0] == got[1] == got[2]
+    for source in "abc":
+        own = sorted((r["_key"], r["doc_id"], r["_tie"], r["_size"]) for r in keyed if r["source"] == source)
+        target = next(r["target"] for r in got[0] if r["source"] == source)
+        size, total = sum(r[3] for r in own), 0
+        rest = target - int(target // size) * size
+        for _, doc_id, _, n in own:
+            want.setdefault((source, doc_id), []).append(n * (int(target // size) + (rest > 0 and total + n / 2 <= rest)))
+            total += n
+    found = {}
+    for r in got[0]:
+        found.setdefault((r["source"], r["doc_id"]), []).append(r["taken"])
+    # Equal rows are ordered at will, but all that equal the last one taken are taken.
+    assert sum(sorted(found[k]) != sorted(want[k]) for k in want) <= 3
+
+
 def test_mixture_keeps_columns(odd, nothing):
     out = mixing.mixture(odd)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "print", "key", "row", "size", "source_size", "target", "taken"]

@@ -8,10 +8,12 @@ order of Efraimidis and Spirakis: exponential keys -ln(u) / weight ascending, u
 weight from the document's quality. Sizes are added up in that order until they come nearest to the rest.
 
 A source may hold most rows, so nothing sorts a source as a whole. Keys fall into `bins`; the sums of the bins give the
-bin in which the rest is reached, and only that bin's documents are sorted.
+bin in which the rest is reached. That bin is cut into `bins` again, from its least key to its greatest, until it holds no
+more than `sorted_rows` rows or a single key, whatever the weights are; only these rows are sorted.
 
 Null texts have no words, so they are taken whole but count nothing. An empty table gives no rows. Rows that repeat an id
-and a text have the same key and are ordered among themselves at will; they have the same size.
+and a text have the same key and are ordered among themselves at will; they have the same size. Rows that repeat an id with
+another text, and equal keys, are ordered by id, then by a hash of the text. Rows without an id take their key from the text.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ class MixRules:
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
     bins: int = 4096
+    sorted_rows: int = 512
     seed: int = 17
 
 
@@ -85,44 +88,62 @@ def targets(sources: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
 
 
 def _measured(docs: DataFrame, rules: MixRules, weight: Column | None) -> DataFrame:
-    """`docs` with _size, _key, _bin and _tie."""
+    """`docs` with _size, _key and _tie."""
     text = F.col("text")
     key = exponential_key(F.col("doc_id"), text, quality_weight(text) if weight is None else weight, rules.seed)
-    return docs.withColumns({"_size": n_words(text), "_key": key, "_tie": F.xxhash64("text")}).withColumn(
-        "_bin", F.floor((1 - F.exp(-F.col("_key"))) * rules.bins).cast("int"))
+    return docs.withColumns({"_size": n_words(text), "_key": key, "_tie": F.xxhash64("text")})
+
+
+def _binned(keyed: DataFrame, *group: str) -> DataFrame:
+    """Words, rows and range of keys of each bin; at most `bins` rows for each source."""
+    return keyed.groupBy(*group, "_bin").agg(
+        F.sum("_size").alias("_bin_size"), F.count(F.lit(1)).alias("_rows"), F.min("_key").alias("_low"), F.max("_key").alias("_high"))
+
+
+def _crossing(bins: DataFrame) -> DataFrame:
+    """Of bins with _start, the words taken before the first of them, and _rest: the one in which the rest is reached."""
+    before = F.sum("_bin_size").over(W.partitionBy("_source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
+    return bins.withColumn("_before", F.col("_start") + F.coalesce(before, F.lit(0))).filter(
+        (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_bin_size") >= F.col("_rest"))
+    ).select("_source", "_before", "_rest", "_rows", "_low", "_high")
+
+
+def _within(measured: DataFrame, crossing: DataFrame) -> DataFrame:
+    """The documents in the crossing bins: bins don't overlap, so the least and greatest key tell."""
+    return measured.select("source", "_size", "_key", "doc_id", "_tie").join(
+        small(crossing), F.col("source").eqNullSafe(F.col("_source")) & F.col("_key").between(F.col("_low"), F.col("_high")))
 
 
 def _plan(measured: DataFrame, rules: MixRules) -> DataFrame:
     """For each source: target, whole epochs, and up to where in the order its documents are taken once more."""
-    per_bin = Written(measured.groupBy(F.col("source").alias("_source"), "_bin").agg(F.sum("_size").alias("_bin_size"))).df
+    first_bin = F.floor((1 - F.exp(-F.col("_key"))) * rules.bins).cast("int")
+    per_bin = Written(_binned(measured.select(F.col("source").alias("_source"), "_size", "_key", first_bin.alias("_bin")), "_source")).df
     sources = targets(per_bin.groupBy(F.col("_source").alias("source")).agg(F.sum("_bin_size").alias("source_size")), rules)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = Written(sources.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))).df
     same = F.col("source").eqNullSafe(F.col("_source"))
-    # At most `bins` rows for each source.
-    before = F.sum("_bin_size").over(W.partitionBy("_source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
-    crossing = Written(
-        per_bin.withColumn("_before", F.coalesce(before, F.lit(0))).join(small(sources), same)
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_bin_size") >= F.col("_rest")))
-        .select("_source", F.col("_bin").alias("_last_bin"), "_before", "_rest")
-    ).df
-    # One bin of each source: about 1 / bins of its rows.
+    crossing = Written(_crossing(per_bin.join(small(sources), same).withColumn("_start", F.lit(0).cast("long")))).df
+    crowded = (F.col("_rows") > rules.sorted_rows) & (F.col("_low") < F.col("_high"))
+    # A cut parts the least key from the greatest, so every round makes crowded bins smaller.
+    bins = max(2, rules.bins)
+    while not crossing.filter(crowded).isEmpty():
+        at = F.floor((F.col("_key") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
+        inner = _within(measured, crossing.filter(crowded)).select(
+            "_source", F.col("_before").alias("_start"), "_rest", "_size", "_key", F.least(at, F.lit(bins - 1)).cast("int").alias("_bin"))
+        crossing = Written(crossing.filter(~crowded).unionByName(_crossing(_binned(inner, "_source", "_start", "_rest")))).df
     order = W.partitionBy("_source").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("_before") + F.sum("_size").over(order) - F.col("_size") / 2
     last = (
-        measured.select("source", "_bin", "_size", "_key", "doc_id", "_tie")
-        .join(small(crossing), same & (F.col("_bin") == F.col("_last_bin")))
-        .withColumn("_middle", middle).filter("_middle <= _rest")
+        _within(measured, crossing).withColumn("_middle", middle).filter("_middle <= _rest")
         .groupBy("_source").agg(F.max(F.struct("_key", "doc_id", "_tie")).alias("_last"))
     )
     cut = crossing.alias("c").join(last.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    return Written(sources.join(cut.select("_source", "_last_bin", "_last"), same, "left")
-                   .select(F.col("source").alias("_source"), "source_size", "target", "_epochs", "_last_bin", "_last")).df
+    return Written(sources.join(cut.select("_source", "_low", "_last"), same, "left")
+                   .select(F.col("source").alias("_source"), "source_size", "target", "_epochs", "_low", "_last")).df
 
 
 def _taken(measured: DataFrame, plan: DataFrame) -> DataFrame:
-    again = (F.col("_bin") < F.col("_last_bin")) | (
-        (F.col("_bin") == F.col("_last_bin")) & (F.struct("_key", "doc_id", "_tie") <= F.col("_last")))
+    again = (F.col("_key") < F.col("_low")) | (F.struct("_key", "doc_id", "_tie") <= F.col("_last"))
     return measured.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).withColumn(
         "taken", F.col("_size") * (F.col("_epochs") + F.coalesce(again, F.lit(False)).cast("long")))
 
