@@ -102,3 +102,31 @@ def test_canonical_texts_and_comment_headers(spark):
     assert not wrong
     whole = {"MIT": ("mit-grant", "mit-notice", "mit-warranty"), "Apache-2.0": ("named", "use", "copy", "warranty", "language"), "GPL-3.0-or-later": ("grant", "warranty", "details")}
     assert all(part in got[f"{name} {mark}"][0] for name, parts in whole.items() for part in parts for mark in marks)
+
+
+NOTICES = {
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MIT": "Released under the MIT License (MIT).", "Apache-2.0": "SPDX-License-Identifier: Apache-2.0", "LGPL-3.0-or-later": "SPDX-License-Identifier: LGPL-3.0-or-later\n",
+    "LGPL-2.1-or-later": CANONICAL["GPL-3.0-or-later"].split("\n\n")[0].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1").replace("program", "library"),
+    "AGPL-3.0-or-later": CANONICAL["GPL-3.0-or-later"].split("\n\n")[0].replace("GNU General", "GNU Affero General"),
+    "EPL-2.0": "This project is licensed under the Eclipse Public License 2.0.", "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "Released under CC0 1.0.", "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+    "MPL-2.0 named": "Licensed under the Mozilla Public License 2.0", "MIT see": "Licensed under the MIT license, see LICENSE.",
+    "MIT words": "\n".join("# " + w for w in MIT.split("\n\n")[0].split()) + "\n\n" + MIT.split("\n\n")[1] + "\n\n" + WARRANTY,
+}
+
+
+def test_notices_and_sentences_cut_into_words(spark):
+    docs = spark.createDataFrame(list(NOTICES.items()), "doc_id string, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs).collect()}
+    assert got == {k: k.split(" ")[0] + ":1" for k in NOTICES}
+
+
+def test_sql_finds_cut_sentences(spark):
+    rows = [(i, t) for i, t in enumerate([*CANONICAL.values(), *NOTICES.values(), *TEXTS.values(), *("# " + t.replace("\n", "\n# ") for t in CANONICAL.values())])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(tuple, licences.scan(docs).collect())) == sorted(con.execute(licences.scan_sql()).fetchall())
