@@ -24,6 +24,45 @@ def test_restoring(channel):
     assert channel.pieces("it's") == ["it", "s"] and channel.pieces("book&&&") == ["book"] and len("".join(channel.pieces("ab1c" * 5000))) > 0
 
 
+def test_signs_spacing_and_repetition_together(channel):
+    for text in ("1 d 1 0 t", "i  d  i  o  t", "i\td\ti\to\tt", "i-d-1-0-t", "i. d. 1. 0. t", "an 1 d i  0 t said"):
+        assert channel.spaced(text) == ["idiot"], text
+    assert channel.spaced("$ c u m") == ["scum"] and channel.spaced("s @ i d") == ["said"] and channel.spaced("b o o k") == ["book"]
+    assert channel.pieces("sscum") == ["scum"] and channel.pieces("1d10000t") == ["idiot"] and channel.pieces("lesson") == ["lesson"] and channel.pieces("cool") == ["cool"]
+    assert channel.spaced("1 2 3 4 5") == [] and channel.spaced("in 3 d and") == []
+
+
+def test_long_lattices_are_not_cut(channel):
+    words = ["idiot", "worthless", "scum", "letters"] * 40
+    assert "".join(channel.spaced("   ".join(" ".join(w) for w in words))) == "".join(words)
+    assert "".join(channel.pieces("1d10t" * 100)) == "idiot" * 100
+
+
+def test_viterbi_equals_all_readings(channel):
+    import itertools
+
+    def best(word):
+        options, last, run, gap = [], "", 0, False
+        for c in word:
+            known = c in toxicity.STANDS_FOR or c.isalpha()
+            run, gap_now = (run + 1 if c == last else 1, gap) if known else (run, False)
+            options.append(channel.readings(c, run if known else 0, gap_now))
+            last, gap = (c, False) if known else (last, True)
+        scores = {}
+        for path in itertools.product(*options):
+            text = "".join(r for r, _ in path)
+            codes = [0, 0, *(int(toxicity.TABLE[b]) for b in text.encode()), 0]
+            score = sum(channel.model[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:])) - sum(cost for _, cost in path)
+            scores[text] = max(score, scores.get(text, -1e9))
+        return scores
+
+    r = random.Random(8)
+    for _ in range(300):
+        word = "".join(r.choice("abdiotsscu0134$@!. -") for _ in range(r.randrange(1, 9)))
+        scores = best(word)
+        assert abs(scores[channel.decode(word)] - max(scores.values())) < 1e-6, word
+
+
 def test_language_model_counts(spark, odd):
     from collections import Counter
 

@@ -1,8 +1,8 @@
 """Toxicity of texts, read through a noisy channel.
 
-Writers hide words by signs for letters, by spacing and by repetition. Each suspicious word becomes a lattice of the
-characters it may stand for, and a Viterbi search picks the most likely spelling under a character language model.
-The restored text is then scored.
+Writers hide words by signs for letters, by spacing and by repetition, also all at once. Each suspicious word, and each row of
+single letters and signs with gaps between them, becomes one lattice of the characters it may stand for, however long it is,
+and a Viterbi search picks the most likely spelling under a character language model. The restored text is then scored.
 
 1. The language model counts the triples of characters of all documents (64 symbols, so at most 64 ** 3 counts).
 2. A lexicon of word beginnings and whole words is learnt from labelled rows: those far more frequent in toxic texts.
@@ -10,13 +10,16 @@ The restored text is then scored.
 3. A logistic curve on the sum of these weights and the length of the text gives the score.
 
 Labels are read for at most about `fit_rows` rows, picked by a hash of the id. Null and empty texts have no words and get
-the score of a text without findings; without labelled rows every score is 0.
+the score of a text without findings; without labelled rows every score is 0. Rows that repeat a text get the same score; of
+labels that repeat an id, the higher counts. Of equally likely spellings the one found first is taken. `scored` sets the column
+`score` and leaves all others as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,12 +40,14 @@ STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
               "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e", "£": "l"}
 SIGNS = "".join(re.escape(c) for c in STANDS_FOR)
 LETTER = r"[^\W\d_]"
-SPACED = re.compile(rf"(?<!\w){LETTER}(?:[ .\-_*]{LETTER}){{3,}}(?!\w)")
-#: A word with a sign between letters, one or two signs at an end that are no punctuation, letters between dots, or a long run.
-INSIDE = re.compile(rf"{LETTER}[{SIGNS}]+{LETTER}|^[@$0-9]{{1,2}}{LETTER}|{LETTER}[@$0-9]{{1,2}}$|{LETTER}[.\-_*]{LETTER}[.\-_*]{LETTER}|({LETTER})\1\1")
+SEPARATOR = r"[ \t\r\n.\-_*]"
+#: Three or more single letters or signs with gaps between them.
+SPACED = re.compile(rf"(?<!\w)(?:{LETTER}|[{SIGNS}])(?:{SEPARATOR}++(?:{LETTER}|[{SIGNS}])(?!\w)){{2,}}")
+GAP = re.compile(rf"{SEPARATOR}+")
+#: A word with a sign between letters, one or two signs at an end that are no punctuation, letters between dots, or a letter twice.
+INSIDE = re.compile(rf"{LETTER}[{SIGNS}]+{LETTER}|^[@$0-9]{{1,2}}{LETTER}|{LETTER}[@$0-9]{{1,2}}$|{LETTER}[.\-_*]{LETTER}[.\-_*]{LETTER}|({LETTER})\1")
 EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 PIECE = re.compile(rf"{LETTER}+")
-LONGEST_LATTICE = 64
 
 
 @dataclass(frozen=True)
@@ -99,35 +104,56 @@ class Channel:
         self.model = model.tolist()
 
     @staticmethod
-    def readings(c: str, before: str, run: int) -> list[tuple[str, float]]:
-        """What a character may stand for, with the cost of the channel."""
+    def readings(c: str, run: int, apart: bool) -> list[tuple[str, float]]:
+        """What a character may stand for, with the cost of the channel; `run` equal ones end with it, `apart` if gaps lie between them."""
+        again = [("", 0.5 if run > 2 else 4.0)] if run > 1 else []
         if c in STANDS_FOR:
-            return [(x, 1.0) for x in STANDS_FOR[c]] + [(" ", 7.0)]
-        if c.isalpha():
-            return [(c, 0.0)] if c != before else [(c, 0.6 * run), ("", 0.5 if run > 2 else 4.0)]
-        return [("", 0.5), (" ", 4.0)]
+            return [(x, 1.0) for x in STANDS_FOR[c]] + [(" ", 7.0)] + again
+        if not c.isalpha():
+            return [("", 0.5), (" ", 4.0)]
+        return [(c, 0.0 if apart or run == 1 else 0.6 * run)] + again
 
     def decode(self, word: str) -> str:
-        """The most likely spelling of `word`. Longer lattices are cut at `LONGEST_LATTICE` characters and decoded piece by piece."""
-        if len(word) > LONGEST_LATTICE:
-            return "".join(self.decode(word[i:i + LONGEST_LATTICE]) for i in range(0, len(word), LONGEST_LATTICE))
-        best, before = {(0, 0): (0.0, "")}, ""
-        for at, c in enumerate(word):
-            run = 1
-            while run <= at and word[at - run] == c:
-                run += 1
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for reading, cost in self.readings(c, before, run):
-                codes = [int(TABLE[b]) for b in reading.encode()]
-                for (a, b), (score, text) in best.items():
+        """The most likely spelling of `word`, in one pass with back-pointers. Where only one state is left, all before it is settled."""
+        done: list[str] = []
+        scores: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        #: For each character since then: its readings, and for each state the index of the one before and of the reading.
+        steps: list[tuple[list[tuple[str, float]], array]] = []
+
+        def settled(at: int) -> str:
+            out = []
+            for readings, back in reversed(steps):
+                at, reading = back[2 * at], back[2 * at + 1]
+                out.append(readings[reading][0])
+            return "".join(reversed(out))
+
+        last, run, gap = "", 0, False
+        for c in word:
+            if c in STANDS_FOR or c.isalpha():
+                run = run + 1 if c == last else 1
+                readings = self.readings(c, run, gap)
+                last, gap = c, False
+            else:
+                readings = self.readings(c, 0, False)
+                gap = True
+            after: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for which, (reading, cost) in enumerate(readings):
+                codes = [int(TABLE[x]) for x in reading.encode()]
+                for origin, ((a, b), score) in enumerate(scores.items()):
                     total = score - cost
                     for code in codes:
                         total += self.model[a][b][code]
                         a, b = b, code
                     if (a, b) not in after or total > after[a, b][0]:
-                        after[a, b] = (total, text + reading)
-            best, before = after, c
-        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+                        after[a, b] = (total, origin, which)
+            steps.append((readings, array("H", [x for _, origin, which in after.values() for x in (origin, which)])))
+            scores = {state: total for state, (total, _, _) in after.items()}
+            if len(scores) == 1:
+                done.append(settled(0))
+                steps.clear()
+        ends = [score + self.model[a][b][0] for (a, b), score in scores.items()]
+        done.append(settled(ends.index(max(ends))))
+        return "".join(done)
 
     def pieces(self, word: str) -> list[str]:
         """The restored words in one lower-cased word of a text."""
@@ -142,8 +168,9 @@ class Channel:
         return PIECE.findall(self.decode(core))
 
     def spaced(self, text: str) -> list[str]:
-        """Words written letter by letter with signs between them."""
-        return [piece for m in SPACED.finditer(text) for piece in PIECE.findall(self.decode(m[0]))]
+        """Words written letter by letter, in letters or signs, with gaps of any length between them."""
+        found = (GAP.sub(" ", m[0].rstrip("!|(+")) for m in SPACED.finditer(text))
+        return [piece for row in found if PIECE.search(row) for piece in PIECE.findall(self.decode(row))]
 
 
 def entries(word: str, beginnings: tuple[int, int]) -> list[str]:
