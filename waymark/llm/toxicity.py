@@ -180,12 +180,17 @@ def entries(word: str, beginnings: tuple[int, int]) -> list[str]:
 
 def _counts(batches, channel: Channel, rules: ToxicRules, wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
     times, rows, words = Counter(), Counter(), 0
+    known: dict[str, list[str]] = {}
     for batch in batches:
         for value in utf8(batch.column(0)):
             text = (value or b"").decode(errors="replace").lower()
             own, pieces = Counter(), Counter()
+            if len(known) > rules.cache:
+                known.clear()
             for word, n in Counter(text.split()).items():
-                for piece in channel.pieces(word):
+                if word not in known:
+                    known[word] = channel.pieces(word)
+                for piece in known[word]:
                     pieces[piece] += n
             pieces.update(channel.spaced(text))
             for piece, n in pieces.items():
