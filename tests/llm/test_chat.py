@@ -101,6 +101,18 @@ def test_black_boxes_with_a_small_window(render):
     assert [whole[p[3]:p[4]] for p in got if p[3] is not None] == [t for r, t in talk if r == "assistant"]
 
 
+def echoing(turns):
+    """Repeats what was said a hundred turns before."""
+    return "".join(f"{r}:{t}{turns[i - 100][1] if i >= 100 else ''};" for i, (r, t) in enumerate(turns))
+
+
+def test_a_template_that_looks_back_on_more_turns_than_the_window():
+    talk = [("user", f"t{i}") for i in range(250)]
+    rows = chat.Conversation(chat.ChatRules(echoing))
+    got = [rows.add(*t) for t in talk]
+    assert "".join(p[0] for p in got) == echoing(talk) and not any(p[-1] for p in got)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.read_back(empty).count() == 0 and chat.formatted(empty).count() == 0
