@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import materialize
 from waymark.operators import components, density, radius
 
 # A CSV of x, y, label: 749 points with the known result of eps 0.3 and 10 points. Given by the caller.
@@ -187,3 +188,44 @@ def test_coordinates_far_from_zero(spark):
     assert clusters(1e9) == clusters(0.0) and len(clusters(0.0)) == 4
     with pytest.raises(Exception, match="larger radius"):
         clusters(1e10)
+
+
+@pytest.mark.parametrize("array_rows", [256, 40, 0])
+def test_groups_as_arrays_and_as_cells_give_the_same(spark, array_rows):
+    data = {"few": scattered(21, 30, 0.05), "lattice": scattered(22, 60, 0.1, 0.007), "many": scattered(23, 200, 0.1), "one": [(55.0, -0.0)]}
+    rows = [(c, *p, i % 3) for c, ps in data.items() for i, p in enumerate(ps)]
+    rows += [(None, 1.0, 1.0, 1), (None, 1.0, 1.001, 1), ("few", None, 1.0, 1), ("gone", 1.0, None, 1)]
+    df = spark.createDataFrame(rows, "customer_id string, lat double, lon double, w int")
+    found = density.cluster_points(df, 0.02, array_rows=array_rows).collect()
+    got = partition(r for r in found if r["customer_id"] in data and r["lat"] is not None)
+    for customer, points in data.items():
+        assert got[customer] == brute_components(points, 0.02), customer
+    # What lacks a key or coordinate is near nothing.
+    loose = {(r["customer_id"], r["lat"], r["lon"]): r["cluster_id"] for r in found if None in (r["customer_id"], r["lat"], r["lon"])}
+    assert len(loose) == 4 and loose["few", None, 1.0] is None and loose[None, 1.0, 1.0] is not None
+    counts = {(r["customer_id"], r["lat"], r["lon"]): r["near_count"] for r in radius.near_point_count(df, 0.02, array_rows=array_rows).collect()}
+    assert counts == {(c, *p): sum(near(p, q, 0.02) for q in set(ps)) for c, ps in data.items() for p in ps}
+    sums = {r["customer_id"]: r["s"] for r in radius.pair_distance_sums(df.dropna(), ["customer_id"], {"s": "w"}, block_size=max(array_rows, 1)).collect()}
+    for customer, points in data.items():
+        want = sum((i % 3) * (j % 3) * ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 for i, p in enumerate(points) for j, q in enumerate(points))
+        assert sums[customer] == pytest.approx(want), customer
+
+
+def _exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_small_groups_move_once(spark):
+    rows = [(f"c{c}", *p, 1) for c in range(20) for p in set(scattered(c, 20, 0.1))]
+    df = materialize.cut_lineage(spark.createDataFrame(rows, "customer_id string, lat double, lon double, w int"))
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "-1")
+        assert _exchanges(density.cluster_points(df, 0.02).filter("lat is not null")) <= 2
+        assert _exchanges(radius.near_point_count(df, 0.02)) == 1
+        assert _exchanges(radius.pair_distance_sums(df, ["customer_id"], {"s": "w"})) == 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
