@@ -108,3 +108,23 @@ def test_dictionaries_of_several_tables_and_columns(spark):
     assert got["code"] == [(None, 0), (9, 1), (10, 2), (100, 3)] and made["code"].schema["value"].dataType.simpleString() == "int"
     assert got["name"] == [("", 0), ("a", 1), ("b", 2), ("ä", 3)] and got["extra"] == [(None, 0), (-2.0, 1), (0.1, 2), (1.5, 3)]
     assert lookups.category_dictionary(a.limit(0), b.limit(0), "name").count() == 0
+
+
+@pytest.mark.parametrize("documents", [True, False])
+def test_geojson_becomes_text_after_the_sort(spark, tmp_path, documents, monkeypatch):
+    df = spark.createDataFrame([("a", 2, 1.0, 2.0, "h", "p"), (None, 1, 3.0, None, None, "p")], "customer_id string, id int, lat double, lon double, hint string, preset string")
+    dealt = []
+    kind = type(df)
+    plain = kind.repartitionByRange
+
+    def seen(self, *columns):
+        dealt.append(self.columns)
+        return plain(self, *columns)
+
+    monkeypatch.setattr(kind, "repartitionByRange", seen)
+    files.export_geojson(df, str(tmp_path / "out"), documents=documents)
+    assert [("hint" in c, "value" in c) for c in dealt] == [(True, False)]
+    lines = spark.read.schema("customer_id string, value string").json(str(tmp_path / "out")).collect()
+    assert len(lines) == (6 if documents else 2)
+    assert [r["value"].rstrip(",") for r in lines if '"id":2' in r["value"]] == [
+        '{"type":"Feature","id":2,"geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"hintContent":"h"},"options":{"preset":"p"}}']

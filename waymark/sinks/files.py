@@ -74,10 +74,27 @@ def geojson_feature(feature_id, lat, lon, hint, preset) -> Column:
 
 def geojson_features(df: DataFrame) -> DataFrame:
     """customer_id and one feature per row, from id, lat, lon, hint, preset."""
-    return df.select(
-        "customer_id", "id",
-        geojson_feature(F.col("id"), F.col("lat"), F.col("lon"), F.col("hint"), F.col("preset")).alias("value"),
-    )
+    return df.select("customer_id", "id", _feature().alias("value"))
+
+
+def _document_rows(df: DataFrame) -> DataFrame:
+    """What the lines of `geojson_documents` are made of: the fields of the features, and two rows more for each customer."""
+    fields = ["id", "lat", "lon", "hint", "preset"]
+    ends = df.select("customer_id").distinct().withColumn("part", F.explode(F.array(F.lit(0), F.lit(2)))).select(
+        "customer_id", F.struct("part", F.lit(0).cast("bigint").alias("id")).alias("_line"),
+        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in fields])
+    features = df.select("customer_id", F.struct(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("id")).alias("_line"), *fields)
+    return ends.unionByName(features)
+
+
+def _feature() -> Column:
+    return geojson_feature(F.col("id"), F.col("lat"), F.col("lon"), F.col("hint"), F.col("preset"))
+
+
+def _document_line() -> Column:
+    sentinel = geojson_feature(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(""), F.lit(fixed.SENTINEL_PRESET))
+    part = F.col("_line.part")
+    return F.when(part == 0, F.lit(fixed.DOCUMENT_OPENING)).when(part == 2, F.concat(sentinel, F.lit("]}"))).otherwise(F.concat(_feature(), F.lit(",")))
 
 
 def geojson_documents(df: DataFrame) -> DataFrame:
@@ -86,28 +103,21 @@ def geojson_documents(df: DataFrame) -> DataFrame:
     A document opens, has one feature a line, and closes with the sentinel feature -1. Lines are sorted rows, so
     a customer with very many points never becomes one value.
     """
-    customers = df.select("customer_id").distinct()
-    sentinel = geojson_feature(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(""), F.lit(fixed.SENTINEL_PRESET))
-    opening = customers.select("customer_id", F.struct(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("id")).alias("_line"),
-                               F.lit(fixed.DOCUMENT_OPENING).alias("value"))
-    features = geojson_features(df).select(
-        "customer_id", F.struct(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("id")).alias("_line"),
-        F.concat(F.col("value"), F.lit(",")).alias("value"))
-    closing = customers.select("customer_id", F.struct(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("id")).alias("_line"),
-                               F.concat(sentinel, F.lit("]}")).alias("value"))
-    return opening.unionByName(features).unionByName(closing)
+    return _document_rows(df).select("customer_id", "_line", _document_line().alias("value"))
 
 
 def export_geojson(df: DataFrame, path: str, documents: bool = True, buckets: int = 64) -> None:
     """Lines of (customer_id, value) as JSON, in a folder per hash bucket of the customers.
 
     A customer's values in the order of the files are one document, or with documents=False one feature each. Files are
-    ranges of customers and lines, so a customer with very many points is spread over several.
+    ranges of customers and lines, so a customer with very many points is spread over several. The fields are sorted, and
+    become text where they are written.
     """
-    lines = geojson_documents(df) if documents else geojson_features(df).withColumn("_line", F.col("id"))
+    rows = _document_rows(df) if documents else df.select("customer_id", "id", "lat", "lon", "hint", "preset").withColumn("_line", F.col("id"))
+    value = _document_line() if documents else _feature()
     order = ["bucket", "customer_id", "_line"]
     (
-        lines.withColumn("bucket", F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).cast("int"))
-        .repartitionByRange(*order).sortWithinPartitions(*order).select("bucket", "customer_id", "value")
+        rows.withColumn("bucket", F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).cast("int"))
+        .repartitionByRange(*order).sortWithinPartitions(*order).select("bucket", "customer_id", value.alias("value"))
         .write.partitionBy("bucket").json(path)
     )
