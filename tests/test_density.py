@@ -229,3 +229,22 @@ def test_small_groups_move_once(spark):
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("array_rows", [256, 40, 0])
+def test_dbscan_of_groups_as_arrays_and_as_cells(spark, array_rows):
+    data = {"few": scattered(31, 30, 0.05), "lattice": scattered(32, 60, 0.1, 0.007), "many": scattered(33, 150, 0.12), "one": [(55.0, 37.0)]}
+    rows = [(c, *p) for c, ps in data.items() for p in ps] + [(None, 1.0, 1.0), ("few", None, 1.0), ("few", 0.0, 1e10)]
+    df = spark.createDataFrame(rows, "customer_id string, lat double, lon double")
+    found = density.dbscan(df, 0.02, 3, by=["customer_id"], array_rows=array_rows)
+    assert found.columns == ["customer_id", "lat", "lon", "weight", "cluster_id", "role"]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["customer_id"], {})[r["lat"], r["lon"]] = (r["role"], r["cluster_id"], r["weight"])
+    assert got["few"].pop((0.0, 1e10)) == ("noise", None, 1) and set(got) == set(data)
+    for customer, points in data.items():
+        want = brute_dbscan(points, 0.02, 3)
+        assert {p: v[0] for p, v in got[customer].items()} == {p: v[0] for p, v in want.items()}
+        pairs = {(got[customer][p][1], want[p][1]) for p in want}
+        assert len(pairs) == len({g for g, _ in pairs}) == len({w for _, w in pairs})
+        assert {p: v[2] for p, v in got[customer].items()} == {p: points.count(p) for p in want}
