@@ -175,9 +175,9 @@ row_number() OVER (PARTITION BY a.customer_id, a.lat, a.lon ORDER BY (a.lat - b.
 FROM ({_VISITS}) a JOIN ({_VISITS}) b ON a.customer_id = b.customer_id) WHERE rank <= 5"""
 
 
-def _nearest(spark, sf_dir):
+def _nearest(spark, sf_dir, before=False):
     visits = views.stored(spark, sf_dir, "visits", lambda: cut_lineage(ranking.visit_counts(views.tx(spark, sf_dir))))
-    return ranking.nearest_points_k(visits, visits, 5, keep=["visits"])
+    return ranking.nearest_points_k(visits, visits, 5, keep=["visits"], before=before)
 
 
 @query(sql(f"SELECT customer_id, lat, lon, near_lat, near_lon, visits, round(d2, 12) AS d2, CAST(rank AS INTEGER) AS rank FROM ({_NEAREST})", "tx"))
@@ -189,7 +189,7 @@ def nearest_points_k(spark, sf_dir):
 FROM (SELECT *, lag(near_lat) OVER (PARTITION BY customer_id, lat, lon ORDER BY rank) AS p_lat,
 lag(near_lon) OVER (PARTITION BY customer_id, lat, lon ORDER BY rank) AS p_lon FROM ({_NEAREST}))""", "tx"))
 def consecutive_distance(spark, sf_dir):
-    steps = ranking.consecutive_distance(_nearest(spark, sf_dir))
+    steps = ranking.consecutive_distance(_nearest(spark, sf_dir, before=True))
     return steps.select("customer_id", "lat", "lon", "rank", F.round("step_d2", 12).alias("step_d2"))
 
 

@@ -19,7 +19,7 @@ from waymark import fixed
 from waymark.functions import geo
 from waymark.materialize import cut_lineage
 from waymark.operators.lookups import target_point
-from waymark.operators.ranking import consecutive_distance, nearest_points_k, sample_point_per_group
+from waymark.operators.ranking import consecutive_distance, nearest_lists, sample_point_per_group
 
 # Executors need not have this package: the functions below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -56,24 +56,39 @@ def inside(radius: float):
     return F.col("d2") <= radius * radius
 
 
-def point_spectrum(anchors: DataFrame, visits: DataFrame) -> DataFrame:
-    """Nine columns per anchor: four squared steps along its five nearest points, and their visit shares.
+def point_spectrum(anchors: DataFrame, visits: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Nine columns per anchor: four squared steps along its five nearest points, and their visit shares, and `also` of the anchor.
 
-    For customers with at least five places; places further down stay NULL.
+    For customers with at least five places; places further down stay NULL. Customers of few places are answered in place,
+    from the list of their points; only those of many go by ranked rows.
     """
-    totals = visits.groupBy("customer_id").agg(F.sum("visits").alias("_total"))
-    ranked = consecutive_distance(nearest_points_k(anchors, visits, K, keep=["visits"]))
+    total = F.sum("visits").alias("_total")
+    lists, ranked = nearest_lists(anchors, visits, K, ["customer_id"], ["visits"], also, [total])
+    near = [F.get("_found", F.lit(i)) for i in range(K)]
+
+    def step(p, q):
+        return geo.squared_distance(q["near_lat"], q["near_lon"], p["near_lat"], p["near_lon"])
+
+    out = lists.select(
+        *PLACE, *also, *[step(p, q).alias(name) for p, q, name in zip(near, near[1:], STEP_NAMES)],
+        *[(p["visits"] / F.col("_total")).alias(name) for p, name in zip(near, SHARE_NAMES)])
+    if ranked is None:
+        return out
+    totals = visits.groupBy("customer_id").agg(total)
+    steps = consecutive_distance(ranked)
 
     def at(rank, column):
         return F.max(F.when(F.col("rank") == rank, F.col(column)))
 
-    wide = ranked.groupBy(*PLACE).agg(
+    wide = steps.groupBy(*PLACE).agg(
         *[at(i + 1, "step_d2").alias(f"step_{i}") for i in range(1, K)],
         *[at(i, "visits").alias(f"_visits_{i}") for i in range(1, K + 1)],
     )
-    return wide.join(totals, "customer_id").select(
-        *PLACE, *STEP_NAMES, *[(F.col(f"_visits_{i}") / F.col("_total")).alias(f"share_{i}") for i in range(1, K + 1)]
-    )
+    if also:
+        wide = wide.join(anchors.select(*PLACE, *also), PLACE)
+    return out.unionByName(wide.join(totals, "customer_id").select(
+        *PLACE, *also, *STEP_NAMES, *[(F.col(f"_visits_{i}") / F.col("_total")).alias(f"share_{i}") for i in range(1, K + 1)]
+    ))
 
 
 def with_vector(spectra: DataFrame) -> DataFrame:
@@ -267,9 +282,9 @@ def spectrum_separation_test(tx: DataFrame, model: KMeansModel | DataFrame, targ
     ))
     picked = sample_point_per_group(visits.filter(inside(radius)), seed).withColumn("_in", F.lit(True))
     anchors = picked.unionByName(visits.filter(~inside(radius)).select(*PLACE).withColumn("_in", F.lit(False)))
-    measured = distance_to_centroid(with_vector(point_spectrum(anchors, visits)), model)
+    measured = distance_to_centroid(with_vector(point_spectrum(anchors, visits, ["_in"])), model)
     return (
-        measured.join(anchors, PLACE).groupBy("customer_id")
+        measured.groupBy("customer_id")
         .agg(F.min(F.when(F.col("_in"), F.col("centroid_distance"))).alias("in_distance"),
              F.min(F.when(~F.col("_in"), F.col("centroid_distance"))).alias("out_distance"))
         .withColumn("separated", F.when(F.col("in_distance") < F.col("out_distance"), 1.0).otherwise(0.0))
