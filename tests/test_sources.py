@@ -59,6 +59,17 @@ def test_train_and_test_lines(spark):
     assert (row["home_lat"], row["home_lon"], row["work_lat"], row["work_lon"], row["lat"]) == (55.1, 37.1, 55.2, None, 56.0)
 
 
+def test_a_line_is_parsed_once(spark, tmp_path):
+    lines = ["1.0,a,,,Tver,RUS,840.0,c1,55.1,37.1,5411,shop,56.0,38.0,t1,2017-05-01,55.2,0.0", "", "x", "1.0,a,,,Tver,RUS,840.0,c2,1,1,1,shop,0,0,t1,2017-05-01,1,1"]
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+    for read in (X.read_train_transactions, X.read_test_transactions):
+        plan = read(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv(") == 1
+    assert [r["customer_id"] for r in X.read_train_transactions(spark, str(tmp_path)).collect()] == ["c1"]
+    empty = spark.createDataFrame([(None,), ("",), ("1,2",)], "value string")
+    assert [tuple(r)[:2] for r in L.split_csv_lines(empty, ["a", "b"]).collect()] == [(None, None), (None, None), ("1", "2")]
+
+
 def test_apartments_keep_both_coordinates(spark):
     df = spark.createDataFrame([("55.5,37.25,1990,1..9,40,3",), ("55.5,37,,5,,x",), ("latitude,longitude,year,z",)], "value string")
     rows = sorted(tuple(r) for r in X.parse_apartments(df).fillna(-1).collect())
