@@ -92,3 +92,18 @@ def test_distance_to_a_table_of_centers(spark):
     assert got[0] == (4, 0.0) and got[1] == (2, 0.0) and got[2] == (2, 5.0) and got[3] == (None, None)
     with pytest.raises(ValueError):
         spectrum.distance_to_centroid(df, centers.limit(0))
+
+
+def test_nearest_centres_are_those_of_plain_sums():
+    rnd = np.random.default_rng(3)
+    lattice = np.stack(np.meshgrid([0.0, 1.0, 2.0], [0.0, 1.0, 2.0]), axis=-1).reshape(-1, 2)
+    far = 1e8 + rnd.random((50, 2))
+    for x, centers in [(rnd.random((300, 9)), rnd.random((40, 9))), (lattice, lattice[[0, 2, 2, 6, 8]]), (far, far[:7]),
+                       (np.array([[1.0, np.nan], [np.inf, 0.0], [0.5, 0.0]]), lattice[:2]), (rnd.random((5, 1)), rnd.random((1, 1)))]:
+        d2 = np.zeros((len(x), len(centers)))
+        with np.errstate(all="ignore"):
+            for i in range(x.shape[1]):
+                d2 += (x[:, i, None] - centers[None, :, i]) ** 2
+            own, least = spectrum.nearest_centers(x, centers)
+        assert own.tolist() == d2.argmin(axis=1).tolist()
+        np.testing.assert_array_equal(least, d2.min(axis=1))

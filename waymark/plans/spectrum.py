@@ -164,8 +164,31 @@ class KMeansRun:
     mean_distance: float
 
 
-#: Numbers in one matrix of distances.
-MATRIX_SIZE = 4_000_000
+#: Numbers in one matrix of distances, which should stay in a processor's cache.
+MATRIX_SIZE = 1 << 16
+
+
+def nearest_centers(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the first of its nearest centres and the squared distance to it, both as summed component by component.
+
+    One product of matrices gives all distances up to rounding. Where it leaves more than one centre, or no number, all are summed.
+    """
+    width = x.shape[1]
+    far = (centers * centers).sum(axis=1)
+    rough = x @ (-2 * centers.T) + far
+    own = rough.argmin(axis=1)
+    slack = 32 * (width + 4) * np.finfo(float).eps * ((x * x).sum(axis=1) + far.max())
+    unsure = np.flatnonzero(np.count_nonzero(rough <= (rough[np.arange(len(x)), own] + slack)[:, None], axis=1) != 1)
+    if len(unsure):
+        d2 = np.zeros((len(unsure), len(centers)))
+        for i in range(width):
+            d2 += (x[unsure, i, None] - centers[None, :, i]) ** 2
+        own[unsure] = d2.argmin(axis=1)
+    least = np.zeros(len(x))
+    for i in range(width):
+        least += (x[:, i] - centers[own, i]) ** 2
+    return own, least
+
 
 SUMS = "k int, seed int, cluster int, n long, sums array<double>, distance double, cost double"
 
@@ -184,20 +207,21 @@ def assignment_sums(vectors: DataFrame, runs: Mapping[tuple[int, int], np.ndarra
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, sums = np.zeros(len(every), dtype=np.int64), np.zeros((len(every), width))
         distance, cost = np.zeros(len(every)), np.zeros(len(every))
-        step = max(1, MATRIX_SIZE // len(every))
         for batch in batches:
-            for at in range(0, len(batch), step):
-                x = np.stack(batch["x"].iloc[at:at + step].to_numpy())
-                d2 = np.zeros((len(x), len(every)))
-                for i in range(width):
-                    d2 += (x[:, i, None] - every[None, :, i]) ** 2
-                for low, high in zip(bounds, bounds[1:]):
-                    own = low + np.argmin(d2[:, low:high], axis=1)
-                    least = d2[np.arange(len(x)), own]
-                    n += np.bincount(own, minlength=len(every))
-                    cost += np.bincount(own, least, minlength=len(every))
-                    distance += np.bincount(own, np.sqrt(least), minlength=len(every))
-                    np.add.at(sums, own, x)
+            if not len(batch):
+                continue
+            rows = np.stack(batch["x"].to_numpy())
+            for low, high in zip(bounds, bounds[1:]):
+                size = high - low
+                step = max(1, MATRIX_SIZE // size)
+                for at in range(0, len(rows), step):
+                    x = rows[at:at + step]
+                    own, least = nearest_centers(x, every[low:high])
+                    n[low:high] += np.bincount(own, minlength=size)
+                    cost[low:high] += np.bincount(own, least, minlength=size)
+                    distance[low:high] += np.bincount(own, np.sqrt(least), minlength=size)
+                    for i in range(width):
+                        sums[low:high, i] += np.bincount(own, x[:, i], minlength=size)
         used = np.flatnonzero(n)
         if not len(used):
             return
