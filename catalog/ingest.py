@@ -233,7 +233,7 @@ _FEATURE = "struct<type:string,id:bigint,geometry:struct<type:string,coordinates
 def _geojson_lines(spark, points, **how):
     """What the sink has written, read again: (customer_id, value)."""
     path = new_path(spark)
-    files.export_geojson(points, path, **how)
+    files.export_geojson(points, path, compression="gzip", **how)
     return spark.read.schema(f"customer_id {points.schema['customer_id'].dataType.simpleString()}, value string").json(path)
 
 
